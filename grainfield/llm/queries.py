@@ -5,18 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from grainfield.llm import linededup
 from grainfield.llm.common import table
+from grainfield.llm.linededup import line_dedup
+from grainfield.llm.mix import mix
 from grainfield.llm.quality import quality
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "n_removed")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality": op9_quality}
+    return {"op3_mix": op3_mix, "op6_line_dedup": op6_line_dedup, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": linededup.sql()}
