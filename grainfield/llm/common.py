@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,15 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def scratch_remove(path: str) -> None:
-    if path.startswith("file:"):
-        shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of any cluster import this package (once for each context)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_grainfield_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="grainfield-")) / "grainfield.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent).as_posix())
+    sc.addPyFile(str(target))
+    sc._grainfield_shipped = True

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfield.llm import linededup
-from grainfield.llm.common import table
+from grainfield.llm import linededup, tokenbin
+from grainfield.llm.common import cut, new_folder, table
 from grainfield.llm.linededup import line_dedup
 from grainfield.llm.mix import mix
+from grainfield.llm.packing import pack
 from grainfield.llm.quality import quality
 
 
@@ -23,12 +24,23 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "n_removed")
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-ids")
+    rows = cut(tokenbin.write_and_read_back(table(spark, sf_dir, "documents"), folder))
+    tokenbin.remove(folder)
+    return rows
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mix": op3_mix, "op6_line_dedup": op6_line_dedup, "op9_quality": op9_quality}
+    return {"op3_mix": op3_mix, "op6_line_dedup": op6_line_dedup, "op7_token_ids": op7_token_ids, "op9_quality": op9_quality, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
