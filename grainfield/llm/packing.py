@@ -30,7 +30,7 @@ MAX_TOKENS = 1024
 MAX_SEGMENTS = 64
 END_ID = 0
 #: Tails that one task keeps to choose from.
-POOL = 1024
+POOL = 256
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 WITH_IDS = SCHEMA + ", ids binary"

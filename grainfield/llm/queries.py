@@ -9,16 +9,27 @@ from pyspark.sql import functions as F
 
 from grainfield.llm import linededup, tokenbin
 from grainfield.llm.common import cut, new_folder, table
+from grainfield.llm.langid import language_id
 from grainfield.llm.linededup import line_dedup
 from grainfield.llm.mix import mix
 from grainfield.llm.packing import pack
 from grainfield.llm.quality import quality
+from grainfield.llm.secrets import secrets
+from grainfield.llm.toxicity import toxicity
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents")).select("doc_id", "lang_id", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "n_removed")
@@ -31,6 +42,10 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +55,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mix": op3_mix, "op6_line_dedup": op6_line_dedup, "op7_token_ids": op7_token_ids, "op9_quality": op9_quality, "op10_packing": op10_packing}
+    found = [op1_secrets, op3_mix, op4_language_id, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,13 +9,24 @@ from array import array
 
 import numpy as np
 
-#: Pieces remembered by one Python worker; the memo starts anew beyond that.
-MEMO_PIECES = 600_000
+#: Pieces in the memo of one Python worker before it becomes the old one, which a second like it replaces.
+MEMO_PIECES = 500_000
 
 #: White space other than a plain space or line feed, or the mark that pieces are cut by.
 _ODD = re.compile(r"[^\S \n]|\0")
 
 
+#: Letters below this code point were settled long before any library's Unicode version.
+_SETTLED = "\u0530"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder(dict):
     """piece -> ids as little-endian bytes; 2 bytes an id where the vocabulary allows, else 4.
 
@@ -37,17 +48,30 @@ class Encoder(dict):
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
         self.splits = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
+        self.model = self.tokenizer.model
+        self.byte_letters = _byte_letters()
+        self.old: dict[str, bytes] = {}
         self[""] = b""
 
     def plain(self, text: str) -> bytes:
         return array("H" if self.width == 2 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def one_word(self, piece: str) -> bytes:
+        """Of letters with at most one space before them: a single word to the model, which is asked directly."""
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_letters))
+        return array("H" if self.width == 2 else "I", [t.id for t in found]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 2 and piece[-1] in ".," and piece[-2].isascii() and piece[-2].isalpha():
-            ids = self[piece[:-1]] + self[piece[-1]]
-        else:
-            ids = self.plain(piece)
-        if len(piece) <= 64:
+        ids = self.old.get(piece)
+        if ids is None:
+            body = piece[1:] if piece[0] == " " else piece
+            if body.isalpha() and max(body) < _SETTLED:
+                ids = self.one_word(piece)
+            elif len(piece) > 2 and piece[-1] in ".,;:!?" and piece[-2].isascii() and piece[-2].isalpha():
+                ids = self[piece[:-1]] + self[piece[-1]]
+            else:
+                ids = self.plain(piece)
+        if len(piece) <= 40:
             self[piece] = ids
         return ids
 
@@ -57,6 +81,8 @@ class Encoder(dict):
         if not self.splits or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text):
             return self.plain(text)
         if len(self) > MEMO_PIECES:
+            # what is still in use comes over from the old memo
+            self.old = dict(self)
             self.clear()
             self[""] = b""
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
