@@ -13,8 +13,9 @@ import numpy as np
 MEMO_PIECES = 500_000
 
 #: White space other than a plain space or line feed, or the mark that pieces are cut by.
-_ODD = re.compile(r"[^\S \n]|\0")
-
+_ODD = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\0]")
+#: A word and a run of ASCII marks (no apostrophe: it may begin a contraction): two words to the model.
+_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 #: Letters below this code point were settled long before any library's Unicode version.
 _SETTLED = "\u0530"
@@ -67,8 +68,8 @@ class Encoder(dict):
             body = piece[1:] if piece[0] == " " else piece
             if body.isalpha() and max(body) < _SETTLED:
                 ids = self.one_word(piece)
-            elif len(piece) > 2 and piece[-1] in ".,;:!?" and piece[-2].isascii() and piece[-2].isalpha():
-                ids = self[piece[:-1]] + self[piece[-1]]
+            elif parts := _WORD_AND_MARKS.fullmatch(piece):
+                ids = self[parts[1]] + self[parts[2]]
             else:
                 ids = self.plain(piece)
         if len(piece) <= 40:
