@@ -110,7 +110,6 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-@F.pandas_udf("boolean")
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
@@ -199,7 +198,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     fits = F.least(F.length("sa"), F.length("sb")) * 100 >= F.greatest(F.length("sa"), F.length("sb")) * PERCENT
-    links = cut(pairs.join(left, "a").join(right, "b").where(fits).where(_similar("sa", "sb")).select("a", "b").distinct())
+    links = cut(pairs.join(left, "a").join(right, "b").where(fits).where(F.pandas_udf(_similar, "boolean")("sa", "sb")).select("a", "b").distinct())
     first = components(links)
     labelled = members.join(first, F.col("id") == F.col("node"), "left").select("bucket", "id", "lead", F.coalesce("label", "id").alias("label"))
     labelled = cut(labelled)

@@ -12,6 +12,7 @@ from grainfield.llm.common import cut, new_folder, table
 from grainfield.llm.langid import language_id
 from grainfield.llm.linededup import line_dedup
 from grainfield.llm.mix import mix
+from grainfield.llm.neardup import near_dedup
 from grainfield.llm.packing import pack
 from grainfield.llm.quality import quality
 from grainfield.llm.secrets import secrets
@@ -30,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "lang_id", F.round("posterior", 6).alias("posterior"), "accepted")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "n_removed")
@@ -55,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secrets, op3_mix, op4_language_id, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing]
+    found = [op1_secrets, op3_mix, op4_language_id, op5_near_dedup, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing]
     return {f.__name__: f for f in found}
 
 
