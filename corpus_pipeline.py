@@ -1,10 +1,77 @@
-"""Training-data pipeline over documents: language ID, line dedup, near dedup, source mixing, packing."""
+"""Training-data pipeline over documents: language ID, line dedup, near dedup, mixing of sources, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of documents. No SQL states the whole (language models, tokens), so ORACLE_SQL is None and the tests hold the stages
+against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from grainfield.llm.common import broadcast_if_small, cut, new_folder, table
+from grainfield.llm.langid import language_id
+from grainfield.llm.linededup import line_dedup
+from grainfield.llm.mix import mix
+from grainfield.llm.neardup import near_dedup
+from grainfield.llm.packing import pack
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars following the text."""
+    return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in COLUMNS])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without a letter or a sure language go."""
+    return _columns(language_id(docs).where("accepted"))
+
+
+def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; lines that many sources share stay in one of them."""
+    return _columns(line_dedup(docs))
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of least doc_id."""
+    gone = cut(near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct())
+    return _columns(docs.join(broadcast_if_small(gone), "doc_id", "left_anti"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    hashed = docs.withColumn("_t", F.xxhash64("text"))
+    taken = mix(hashed, carry=("_t",)).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "copies")
+    # rows that repeat one another are told apart by number
+    same = taken.withColumn("_m", F.row_number().over(Window.partitionBy("_d", "_u").orderBy("copies")))
+    rows = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("source")))
+    both = rows.join(same.where(F.col("copies") > 0), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u")) & (F.col("_n") == F.col("_m")))
+    return _columns(both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", remove_boilerplate),
+    ("near_dedup", remove_near_copies),
+    ("mix_sources", mix_sources),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
-def run_on_documents(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables of at most so many (narrow) rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Narrow rows in one file of a materialised table.
+ROWS_PER_FILE = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +41,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage; a lost executor costs nothing of it."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise in the shared folder and forget the lineage; a lost executor costs nothing of it.
+
+    rows: about how many narrow rows there are, if known: they are kept in as few files as that asks for.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
     return df.checkpoint()
 
 

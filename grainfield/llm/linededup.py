@@ -60,7 +60,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, b
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents without boilerplate lines, and n_removed."""
     lines, hits = boilerplate(docs, min_sites, lg_k, band, broadcast_rows)
-    lines = cut(lines)
+    lines = cut(lines, 0)
     gone = hits.join(broadcast_if_small(lines.select("h", "first_doc"), None, broadcast_rows), "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_gone"))
     kept = [c for c in docs.columns if c != "n_removed"]

@@ -41,9 +41,9 @@ def targets(totals: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIG
     rounds as there are distinct sets of capped sources, at most one for each source and mostly two or three.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    # one row for each source: narrow, and the only thing ranked in one place
+    # one row for each source: narrow, and the only thing that is ranked in one place
     rank = (F.row_number().over(order) - 1) % len(weights)
-    ranked = cut(totals.select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank + 1).cast("int")).alias("weight")))
+    ranked = cut(totals.select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank + 1).cast("int")).alias("weight")), 0)
     words, level, cap = 0.0, None, F.col("source_size") * float(most)
     while True:
         full = F.lit(False) if level is None else F.lit(level) * F.col("weight") >= cap
@@ -62,12 +62,13 @@ def targets(totals: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIG
 def _tilt(sizes: DataFrame, goals: DataFrame, most: int, steps: int, tolerance: float) -> DataFrame:
     """source, tilt (per mean size), scale: the dual solution; tilt null where every rate is `most`."""
     scale = sizes.groupBy(F.col("source").alias("_k")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
+    n_sources = goals.count()
     state = goals.join(scale, F.col("source").eqNullSafe(F.col("_k"))).drop("_k")
     state = cut(
-        state.select("source", "target", "source_size", "scale", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (F.col("target") >= F.col("source_size") * (most - 1e-9)).alias("full"))
+        state.select("source", "target", "source_size", "scale", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (F.col("target") >= F.col("source_size") * (most - 1e-9)).alias("full")),
+        n_sources,
     )
     top = float(most)
-    n_sources = state.count()
     for _ in range(steps):
         x = F.col("size") / F.col("scale")
         cap = F.log(F.lit(top))
@@ -87,7 +88,8 @@ def _tilt(sizes: DataFrame, goals: DataFrame, most: int, steps: int, tolerance:
         good = newton.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi")) & (F.abs(newton - F.col("tilt")) < F.greatest(F.lit(4.0), F.abs(F.col("tilt"))))
         done = F.abs(F.col("off")) <= F.lit(tolerance) * F.col("target")
         state = cut(
-            moved.select("source", "target", "source_size", "scale", F.when(F.col("full") | F.coalesce(done, F.lit(True)), F.col("tilt")).otherwise(F.when(good, newton).otherwise(wide)).alias("tilt"), "lo", "hi", "full", F.coalesce(done | F.col("full"), F.lit(True)).alias("done"))
+            moved.select("source", "target", "source_size", "scale", F.when(F.col("full") | F.coalesce(done, F.lit(True)), F.col("tilt")).otherwise(F.when(good, newton).otherwise(wide)).alias("tilt"), "lo", "hi", "full", F.coalesce(done | F.col("full"), F.lit(True)).alias("done")),
+            n_sources,
         )
         if not state.where(~F.col("done")).limit(1).count():
             break
@@ -98,12 +100,14 @@ def _tilt(sizes: DataFrame, goals: DataFrame, most: int, steps: int, tolerance:
 def mix(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken, and the columns named in carry (narrow ones: they are materialised)."""
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry).withColumn("_rid", F.monotonically_increasing_id()))
-    sizes = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    goals = cut(targets(cut(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), most, weights))
-    n_sources = goals.count()
+    n_rows = rows.count()
+    sizes = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), n_rows)
+    n_sources = sizes.select("source").distinct().count()
+    goals = cut(targets(cut(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), n_sources), most, weights), n_sources)
     tilts = _tilt(sizes, goals, most, NEWTON_STEPS, TOLERANCE)
     plan = cut(
-        goals.join(tilts.withColumnRenamed("source", "_k"), F.col("source").eqNullSafe(F.col("_k"))).select(F.col("source").alias("_s"), "source_size", "target", "scale", "tilt")
+        goals.join(tilts.withColumnRenamed("source", "_k"), F.col("source").eqNullSafe(F.col("_k"))).select(F.col("source").alias("_s"), "source_size", "target", "scale", "tilt"),
+        n_sources,
     )
     plan = broadcast_if_small(plan, n_sources)
     e = F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.log(F.lit(float(most))))
@@ -125,7 +129,7 @@ def mix(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, c
 def _round(rated: DataFrame, n_sources: int, bits: int) -> DataFrame:
     """copies: whole, and one more below each source's cut-off."""
     need = rated.groupBy(F.col("source").alias("_s")).agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
-    cutoff = cut(need.select("_s", "need", F.lit(0).cast("long").alias("prefix")))
+    cutoff = cut(need.select("_s", "need", F.lit(0).cast("long").alias("prefix")), n_sources)
     shift = bits
     for step in BIN_BITS:
         shift -= step
@@ -140,7 +144,8 @@ def _round(rated: DataFrame, n_sources: int, bits: int) -> DataFrame:
         cutoff = cut(
             cutoff.join(first, F.col("_s").eqNullSafe(F.col("_k")), "left").select(
                 "_s", F.coalesce(F.col("need") - F.col("x.before"), "need").alias("need"), F.coalesce("x.bin", F.lit((1 << (bits - shift)) + 1).cast("long")).alias("prefix"), F.col("x.w").alias("w")
-            )
+            ),
+            n_sources,
         )
         last = cutoff
         cutoff = cutoff.drop("w")
@@ -155,11 +160,11 @@ def _touch(rated: DataFrame, n_sources: int, most: int) -> DataFrame:
     """Give or take single copies of the document whose size is nearest to what a source lacks or has too much."""
     for _ in range(TOUCHES):
         off = rated.groupBy(F.col("source").alias("_s")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
-        off = cut(off.where(F.abs("off") >= 1))
+        off = cut(off.where(F.abs("off") >= 1), n_sources)
         open_ = rated.join(broadcast_if_small(off, n_sources), F.col("source").eqNullSafe(F.col("_s"))).where(
             (F.col("size") > 0) & (F.abs(F.abs("off") - F.col("size")) < F.abs("off")) & F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
         )
         pick = open_.groupBy("_s").agg(F.min_by(F.struct("_rid", "off"), F.struct(F.abs(F.abs("off") - F.col("size")), F.xxhash64("doc_id"), "doc_id")).alias("x"))
-        pick = cut(pick.select(F.col("x._rid").alias("_p"), F.when(F.col("x.off") > 0, 1).otherwise(-1).alias("step")))
+        pick = cut(pick.select(F.col("x._rid").alias("_p"), F.when(F.col("x.off") > 0, 1).otherwise(-1).alias("step")), n_sources)
         rated = rated.join(broadcast_if_small(pick, n_sources), F.col("_rid") == F.col("_p"), "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("_p", "step")
     return rated

@@ -114,11 +114,11 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node, label (the least node reachable) of all nodes of a, b pairs."""
+def components(edges: DataFrame, rows: int | None = None, most_rounds: int = 50) -> DataFrame:
+    """node, label (the least node reachable) of all nodes of a, b pairs; rows: about how many nodes there may be."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.where(F.col("a") != F.col("b")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = cut(both.where(F.col("a") != F.col("b")).distinct(), rows)
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), rows)
     for _ in range(most_rounds):
         at = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         near = both.join(at, "b").groupBy("a").agg(F.min("lb").alias("near"))
@@ -126,9 +126,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         # a root moves under the least label that any of its nodes sees
         hook = seen.groupBy(F.col("label").alias("root")).agg(F.min("near").alias("hook"))
         moved = seen.join(hook, F.col("label") == F.col("root")).select("node", F.col("label").alias("old"), F.least("label", "near", "hook").alias("label"))
-        moved = cut(moved)
+        moved = cut(moved, rows)
         jump = moved.select(F.col("node").alias("_n"), F.col("label").alias("_up"))
-        new = cut(moved.join(jump, F.col("label") == F.col("_n"), "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "old"))
+        new = cut(moved.join(jump, F.col("label") == F.col("_n"), "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "old"), rows)
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         labels = new.drop("old")
         if not changed:
@@ -138,13 +138,13 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return labels
 
 
-def _settle(open_: DataFrame, sets: DataFrame) -> DataFrame:
+def _settle(open_: DataFrame, sets: DataFrame, count: int) -> DataFrame:
     """Links between members of different components that share a bucket. open_: bucket, id, n, label of buckets with several."""
     per = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     # the main component of each bucket names the group in which its outsiders are settled
     main = per.groupBy("bucket").agg(F.max("k").alias("top")).join(per, "bucket").where(F.col("k") == F.col("top")).groupBy("bucket").agg(F.min("label").alias("main"))
     rows = open_.join(main, "bucket").select("main", "id", "label").distinct()
-    rows = cut(rows.withColumn("outside", F.col("label") != F.col("main")))
+    rows = cut(rows.withColumn("outside", F.col("label") != F.col("main")), count)
     sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("outside").cast("long")).alias("out"))
     sizes = sizes.select("main", F.ceil(F.col("out") / OUTSIDERS).cast("int").alias("outs"), F.ceil(F.col("all") / OTHERS).cast("int").alias("alls"))
     placed = rows.join(sizes, "main").where(F.col("outs") > 0).withColumns({"o": F.pmod(F.xxhash64("id", F.lit(1)), F.col("outs")).cast("int"), "p": F.pmod(F.xxhash64("id", F.lit(2)), F.col("alls")).cast("int")})
@@ -182,7 +182,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     signed = cut(_signed(docs))
     # equal sets are one node, named by its least doc_id
     filled = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = cut(filled.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")))
+    nodes = cut(filled.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), signed.count())
     n_nodes = nodes.count()
     named = nodes.select(F.col("rep").alias("doc_id"), "f0", "f1")
     reps = filled.join(broadcast_if_small(named, n_nodes), ["doc_id", "f0", "f1"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sig")
@@ -191,22 +191,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     banded = reps.select("id", "n", F.explode(keys).alias("bucket"))
     same = Window.partitionBy("bucket")
     members = banded.withColumns({"lead": F.min("id").over(same), "k": F.count(F.lit(1)).over(same)}).where(F.col("k") >= 2)
-    # the leader's size, for the bound on sizes, comes with the leader
-    members = cut(members.select("bucket", "id", "n", "lead"))
-    sets = cut(_sets(docs, cut(members.select("id").distinct())))
+    members = cut(members.select("bucket", "id", "lead"), n_nodes)
+    sets = cut(_sets(docs, cut(members.select("id").distinct(), n_nodes)))
     pairs = members.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     fits = F.least(F.length("sa"), F.length("sb")) * 100 >= F.greatest(F.length("sa"), F.length("sb")) * PERCENT
-    links = cut(pairs.join(left, "a").join(right, "b").where(fits).where(F.pandas_udf(_similar, "boolean")("sa", "sb")).select("a", "b").distinct())
-    first = components(links)
+    links = cut(pairs.join(left, "a").join(right, "b").where(fits).where(F.pandas_udf(_similar, "boolean")("sa", "sb")).select("a", "b").distinct(), n_nodes)
+    first = components(links, n_nodes)
     labelled = members.join(first, F.col("id") == F.col("node"), "left").select("bucket", "id", "lead", F.coalesce("label", "id").alias("label"))
-    labelled = cut(labelled)
+    labelled = cut(labelled, n_nodes)
     # all but the leader, whose pairs are known, are in one component: nothing is open
     state = labelled.where(F.col("id") != F.col("lead")).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
     open_ = labelled.where(F.col("id") != F.col("lead")).join(state.select("bucket"), "bucket", "left_semi").select("bucket", "id", "label")
-    more = cut(_settle(cut(open_), sets))
-    final = components(links.unionByName(more))
+    more = cut(_settle(cut(open_, n_nodes), sets, n_nodes), n_nodes)
+    final = components(links.unionByName(more), n_nodes)
     named = nodes.join(final, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.coalesce("label", "rep").alias("component"))
     rows = signed.select("doc_id", "n", "f0", "f1").join(broadcast_if_small(named, n_nodes), ["f0", "f1"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).cast("long")
