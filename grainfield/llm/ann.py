@@ -3,17 +3,19 @@
 Centroids are fitted by k-means on a bounded sample of the vectors, a list that draws more than its share being split in
 two until all are balanced. A proximity graph over the centroids, held in memory, is searched best-first. Every
 vector goes into the list of its nearest centroid and, if it lies near a boundary, into those of further centroids within
-`replicate` times that distance whose direction the chosen ones do not cover already. A query visits the lists
-whose centroids are within `prune` times its nearest one's distance, at most `probes`. Largest inner product becomes
-nearest neighbour by one extra coordinate that gives all vectors the same length.
+`replicate` times that distance whose direction the chosen ones do not cover already. A query visits all lists
+whose centroids are within a ratio of its nearest one's distance. That ratio is measured, not guessed: for a bounded sample of
+queries the true neighbours are found by going through all vectors, and the ratio is the one that reaches the
+wanted share of them. Largest inner product becomes nearest neighbour by one extra coordinate that gives all vectors
+the same length.
 
 Lists are dealt in pieces of bounded size, and the queries of a piece in blocks, so a list that holds a third of all
 vectors is searched by many tasks; each returns the k best of its piece for a query, scored in double precision
 on the original vectors. Only the centroids, at most `lists` of them, are sent to every task.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
-do those of another length than the most frequent one (ties: the shortest). Rows with null vec_id take no part. Rows that
-repeat a vec_id are candidates each, with repeats of the same id and score returned once. Queries with fewer candidates get all;
+do those of another length than the most frequent one (ties: the shortest). Rows with null vec_id take no part. Of rows that
+repeat a vec_id the one with the least vector (by components) takes part. Queries with fewer candidates get all;
 a query whose lists hold fewer than k gets them from all lists. Extra columns are ignored.
 """
 
@@ -35,9 +37,11 @@ SAMPLE = 20_000
 PER_LIST = 256
 MOST_LISTS = 16_384
 ROUNDS = 12
-#: Assignment and search: lists a vector may be in, distance ratios, lists a query visits at least and at most.
-REPLICAS, REPLICATE, PRUNE = 4, 1.10, 1.6
-LEAST_PROBES, PROBES = 12, 48
+#: Assignment and search: lists a vector may be in, and within which distance ratio; lists a query visits at least;
+#: queries that the pruning ratio is measured on, and the share of their neighbours that it has to reach.
+REPLICAS, REPLICATE = 4, 1.10
+LEAST_PROBES = 8
+MEASURED, WANTED = 128, 0.965
 #: Graph: neighbours of a centroid, breadth of the best-first search.
 DEGREE, BREADTH = 16, 96
 #: Vectors of a piece of a list, queries of a block.
@@ -96,6 +100,16 @@ class Graph:
         self.links = [np.array(sorted(s), np.int64) for s in links]
         self.starts = np.unique(np.linspace(0, max(0, n - 1), min(n, 32)).astype(int)) if n else np.zeros(0, int)
 
+    def within(self, q: np.ndarray, ratio: float, least: int) -> list[tuple[float, int]]:
+        """(squared distance, centroid) of all within `ratio` times the least distance, and of `least` at any rate."""
+        n = max(least, BREADTH)
+        while True:
+            found = self.search(q, n)
+            bound = found[0][0] * ratio * ratio
+            if len(found) < n or found[-1][0] > bound or n >= len(self.c):
+                return [x for r, x in enumerate(found) if r < least or x[0] <= bound]
+            n *= 4
+
     def search(self, q: np.ndarray, n: int, breadth: int = BREADTH) -> list[tuple[float, int]]:
         """(squared distance, centroid) of about the n nearest."""
         breadth = max(breadth, n)
@@ -124,26 +138,80 @@ class Graph:
         return sorted((-a, b) for a, b in best)[:n]
 
 
+def _best_of(c: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (by falling score, then id; ids ascending) and scores of the k best distinct ids other than `own`."""
+    rough = c @ x
+    rough[ids == own] = -np.inf
+    if len(rough) > k:
+        # the product of the block may differ in the last digits: keep all that may be among the k
+        bar = np.partition(rough, len(rough) - k)[len(rough) - k]
+        o = np.flatnonzero((rough >= bar - 1e-9 * max(1.0, abs(bar))) & (rough > -np.inf))
+    else:
+        o = np.flatnonzero(rough > -np.inf)
+    score = (c[o] * x).sum(axis=1)
+    order = np.lexsort((ids[o], -score))
+    o, score = o[order], score[order]
+    return o[:k], score[:k]
+
+
+def _ratio(queries: DataFrame, rows: DataFrame, postings: DataFrame, centroids: np.ndarray, dim: int, k: int, longer, wanted: float) -> float:
+    """The distance ratio within which a measured share of true neighbours have a list."""
+    picked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).toArrow()
+    if not picked.num_rows:
+        return 1.0
+    ids = picked["vec_id"].to_numpy()
+    x = _matrix(picked["v"].combine_chunks(), dim)
+
+    def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            order = np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")
+            own, c = b.column(0).to_numpy(zero_copy_only=False)[order], _matrix(b.column(1), dim)[order]
+            for q, i in enumerate(ids):
+                o, s = _best_of(c, own, x[q], i, k)
+                if q in best:
+                    o, s = np.concatenate([best[q][0], own[o]]), np.concatenate([best[q][1], s])
+                    keep = np.lexsort((o, -s))[:k]
+                    best[q] = (o[keep], s[keep])
+                else:
+                    best[q] = (own[o], s)
+        for q, (o, s) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), q)), pa.array(o), pa.array(s)], ["q", "vec_id", "score"])
+
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    found = rows.mapInArrow(true, "q long, vec_id long, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    # at most MEASURED * k rows, times the lists of a vector
+    at = postings.select("vec_id", "list").join(F.broadcast(found.select("q", "vec_id")), "vec_id").toPandas()
+    if not len(at):
+        return 1.0
+    z = longer(x, False)
+    d = np.sqrt(np.maximum((z * z).sum(1)[:, None] - 2 * z @ centroids.T + (centroids * centroids).sum(1)[None], 0))
+    need = pd.Series(d[at["q"], at["list"]] / np.maximum(d.min(axis=1)[at["q"]], 1e-12)).groupby([at["q"], at["vec_id"]]).min()
+    return float(np.quantile(need, wanted)) * (1 + 1e-9)
+
+
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """vec_id, v (doubles) of the rows that take part."""
-    v = F.transform(F.col(column), lambda x: x.cast("double"))
-    fine = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(F.col("v"), lambda x: x != 0.0)
+    kind = "array<float>" if dict(vectors.dtypes)[column] == "array<float>" else "array<double>"
+    v = F.col(column).cast(kind)
+    fine = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(F.col("v"), lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     return rows.where(F.size("v") == (lengths[0]["d"] if lengths else 0))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, column: str = "embedding", sample: int = SAMPLE, prune: float = PRUNE, replicate: float = REPLICATE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, column: str = "embedding", sample: int = SAMPLE, wanted: float = WANTED, replicate: float = REPLICATE) -> DataFrame:
     """query_id, rank, vec_id, score: the k found for each vector whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     ship(spark)
     out = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors, column)
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("v")).alias("d")).first()
+    rows = cut(usable(vectors, column))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m"), F.max(F.size("v")).alias("d")).first()
     n, most, dim = size["n"], size["m"], size["d"]
     if not n:
         return spark.createDataFrame([], out)
@@ -191,16 +259,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, column: str = "emb
         for b in batches:
             at, to = [], []
             for i, q in enumerate(longer(_matrix(b.column(1), dim), False)):
-                found = g.search(q, PROBES)
-                near = [j for r, (d, j) in enumerate(found) if r < LEAST_PROBES or d <= found[0][0] * prune * prune]
+                near = [j for _, j in g.within(q, prune, LEAST_PROBES)]
                 at += [i] * len(near)
                 to += near
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(take), b.column(1).take(take)], ["list", "vec_id", "v"])
 
-    schema = "list long, vec_id long, v array<double>"
-    postings = cut(rows.repartition("vec_id").mapInArrow(posted, schema))
-    queries = cut(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition("vec_id").mapInArrow(asked, schema))
+    schema = f"list long, vec_id long, v {dict(rows.dtypes)['v']}"
+    postings = cut(rows.mapInArrow(posted, schema))
+    prune = _ratio(rows.where(F.col("vec_id") % every == 0), rows, postings, centroids.value, dim, k, longer, wanted)
+    queries = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(asked, schema))
 
     def best(queries: DataFrame, postings: DataFrame) -> DataFrame:
         """query_id, vec_id, score: the k best of each piece."""
@@ -215,17 +283,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, column: str = "emb
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
             is_q = pdf["q"].to_numpy(bool)
             ids = pdf["vec_id"].to_numpy(np.int64)
-            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)  # at most a piece and a block
             qi, ci = ids[is_q], ids[~is_q]
             order = np.argsort(ci, kind="stable")
             ci, cv = ci[order], v[~is_q][order]
             got = []
             for i, x in zip(qi, v[is_q], strict=True):
-                s = np.where(ci == i, -np.inf, cv @ x)
-                # stable: among equal scores the smaller id stays in front
-                o = np.argsort(-s, kind="stable")[: 4 * k]
-                o = o[s[o] > -np.inf]
-                got.append((np.full(len(o), i), ci[o], s[o]))
+                o, score = _best_of(cv, ci, x, i, k)
+                got.append((np.full(len(o), i), ci[o], score))
             cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfield.llm import linededup, tokenbin
+from grainfield.llm import ann, linededup, tokenbin
 from grainfield.llm.common import cut, new_folder, table
 from grainfield.llm.langid import language_id
 from grainfield.llm.linededup import line_dedup
@@ -23,6 +23,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secrets, op3_mix, op4_language_id, op5_near_dedup, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing]
+    found = [op1_secrets, op2_nearest, op3_mix, op4_language_id, op5_near_dedup, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing]
     return {f.__name__: f for f in found}
 
 
