@@ -1,8 +1,8 @@
 """Mixing sources to target weights by entropy balancing.
 
 Each document gets a rate r = min(3, exp(lambda_s * size)), the rates nearest to 1 (in relative entropy) under
-which its source s takes its target of words. Newton iterations over a (source, size, rows) table solve the dual
-for all sources at once; bisection takes over where a step leaves its bracket. Rates are then rounded into whole
+which its source s takes its target of words. Newton iterations over histograms of sizes, distributed by source, solve
+the dual; bisection takes over where a step leaves its bracket. Rates are then rounded into whole
 copies: the whole part always, one more for the documents lowest in hash / fraction up to a cut-off that is found
 by histograms of ever finer bins, so that a source's words come out at its target. At most a copy or two of well
 chosen size are added or taken away in the end. All steps are aggregates over narrow rows; nothing depends on the order of rows.
@@ -17,17 +17,19 @@ give an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainfield.llm.common import WORD, broadcast_if_small, cut
+from grainfield.llm.common import WORD, broadcast_if_small, cut, ship
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
-NEWTON_STEPS = 30
-TOLERANCE = 1e-4
-BIN_BITS = (12, 12, 12, 12)
-TOUCHES = 3
+NEWTON_STEPS = 100
+TOLERANCE = 1e-9
+BIN_BITS = (16, 16, 16)
+TOUCHES = 2
 
 
 def word_count(text: Column) -> Column:
@@ -59,52 +61,54 @@ def targets(totals: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIG
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _tilt(sizes: DataFrame, goals: DataFrame, most: int, steps: int, tolerance: float) -> DataFrame:
-    """source, tilt (per mean size), scale: the dual solution; tilt null where every rate is `most`."""
-    scale = sizes.groupBy(F.col("source").alias("_k")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
-    n_sources = goals.count()
-    state = goals.join(scale, F.col("source").eqNullSafe(F.col("_k"))).drop("_k")
-    state = cut(
-        state.select("source", "target", "source_size", "scale", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (F.col("target") >= F.col("source_size") * (most - 1e-9)).alias("full")),
-        n_sources,
-    )
-    top = float(most)
-    for _ in range(steps):
-        x = F.col("size") / F.col("scale")
-        cap = F.log(F.lit(top))
-        e = F.col("tilt") * x
-        rate = F.when(e >= cap, top).otherwise(F.exp(F.least(e, cap)))
-        slope = F.when(e >= cap, 0.0).otherwise(F.exp(F.least(e, cap)) * x)
-        open_ = broadcast_if_small(state, n_sources).where(~F.col("full"))
-        got = sizes.withColumnRenamed("source", "_s").join(open_, F.col("_s").eqNullSafe(F.col("source")))
-        got = got.groupBy(F.col("_s").alias("_k")).agg(F.sum(F.col("n") * F.col("size") * rate).alias("g"), F.sum(F.col("n") * F.col("size") * slope).alias("d"))
-        moved = state.join(broadcast_if_small(got, n_sources), F.col("source").eqNullSafe(F.col("_k")), "left")
-        off = F.col("target") - F.col("g")
-        lo, hi = F.when(off > 0, F.col("tilt")).otherwise(F.col("lo")), F.when(off > 0, F.col("hi")).otherwise(F.col("tilt"))
-        moved = moved.withColumns({"off": off, "lo": F.coalesce(lo, "lo"), "hi": F.coalesce(hi, "hi")})
-        newton = F.when(F.col("d") > 0, F.col("tilt") + F.col("off") / F.col("d"))
-        # outside its bracket a step is replaced: doubled while one end is open, halved when both are known
-        wide = F.when(F.col("hi") >= 1e6, F.greatest(F.lit(1.0), F.col("tilt") * 2)).when(F.col("lo") <= -1e6, F.least(F.lit(-1.0), F.col("tilt") * 2)).otherwise((F.col("lo") + F.col("hi")) / 2)
-        good = newton.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi")) & (F.abs(newton - F.col("tilt")) < F.greatest(F.lit(4.0), F.abs(F.col("tilt"))))
-        done = F.abs(F.col("off")) <= F.lit(tolerance) * F.col("target")
-        state = cut(
-            moved.select("source", "target", "source_size", "scale", F.when(F.col("full") | F.coalesce(done, F.lit(True)), F.col("tilt")).otherwise(F.when(good, newton).otherwise(wide)).alias("tilt"), "lo", "hi", "full", F.coalesce(done | F.col("full"), F.lit(True)).alias("done")),
-            n_sources,
-        )
-        if not state.where(~F.col("done")).limit(1).count():
+def _solve(size: np.ndarray, n: np.ndarray, target: float, scale: float, most: float) -> float:
+    """The tilt at which sum(n * size * min(most, exp(tilt * size / scale))) is the target, by bracketed Newton steps."""
+    x, words, cap = size / scale, n * size, np.log(most)
+    tilt, lo, hi = 0.0, -np.inf, np.inf
+    for _ in range(NEWTON_STEPS):
+        e = tilt * x
+        rate = np.exp(np.minimum(e, cap))
+        off = target - float((words * rate).sum())
+        if abs(off) <= TOLERANCE * target:
             break
-        state = state.drop("done")
-    return state.select("source", "scale", F.when(F.col("full"), F.lit(None)).otherwise(F.col("tilt")).alias("tilt"))
+        lo, hi = (tilt, hi) if off > 0 else (lo, tilt)
+        slope = float((words * rate * x)[e < cap].sum())
+        new = tilt + off / slope if slope > 0 else np.nan
+        # outside the bracket: doubled while one end is open, halved when both are known
+        if not lo < new < hi or abs(new - tilt) > max(4.0, abs(tilt)):
+            new = max(1.0, 2 * tilt) if np.isinf(hi) else min(-1.0, 2 * tilt) if np.isinf(lo) else (lo + hi) / 2
+        tilt = new
+    return tilt
+
+
+def _tilt(sizes: DataFrame, goals: DataFrame, most: int, n_sources: int) -> DataFrame:
+    """source, tilt (per mean size), scale: the dual solution; tilt null where every rate is `most`.
+
+    Each token constraint touches one source, so Newton's system is diagonal and each source's iterations run by
+    themselves on its histogram of sizes: at most as many rows as the longest document has words, however many documents.
+    """
+    joined = sizes.join(broadcast_if_small(goals.withColumnRenamed("source", "_k"), n_sources), F.col("source").eqNullSafe(F.col("_k"))).drop("_k")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, n = pdf["size"].to_numpy(float), pdf["n"].to_numpy(float)
+        target, words = float(pdf["target"].iloc[0]), float((size * n).sum())
+        scale = words / n.sum()
+        full = not words or target >= words * (most - 1e-9)
+        tilt = None if full else _solve(size, n, target, scale, float(most))
+        return pd.DataFrame({"source": pdf["source"].iloc[:1], "scale": [scale or 1.0], "tilt": pd.array([tilt], "Float64")})
+
+    return joined.groupBy("source").applyInPandas(one, "source string, scale double, tilt double")
 
 
 def mix(docs: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken, and the columns named in carry (narrow ones: they are materialised)."""
+    ship(docs.sparkSession)
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry).withColumn("_rid", F.monotonically_increasing_id()))
     n_rows = rows.count()
     sizes = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), n_rows)
     n_sources = sizes.select("source").distinct().count()
     goals = cut(targets(cut(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), n_sources), most, weights), n_sources)
-    tilts = _tilt(sizes, goals, most, NEWTON_STEPS, TOLERANCE)
+    tilts = _tilt(sizes, goals, most, n_sources)
     plan = cut(
         goals.join(tilts.withColumnRenamed("source", "_k"), F.col("source").eqNullSafe(F.col("_k"))).select(F.col("source").alias("_s"), "source_size", "target", "scale", "tilt"),
         n_sources,
