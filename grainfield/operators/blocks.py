@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainfield.session import ship
+
 #: Rows of one block; a task holds two blocks.
 BLOCK = 2_048
 
 
 def paired(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
     """run(left block, right block) for every pair of blocks of (id, vec) tables; each row is sent once for each block of the other."""
+    ship(left.sparkSession)
     nl, nr = max(1, -(-left.count() // block)), max(1, -(-right.count() // block))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

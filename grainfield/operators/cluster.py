@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.assay import Assay
+from grainfield.session import without_statistics
 
 SWEEPS = 10
+#: Tables of one row for each cell are broadcast up to so many cells.
+BROADCAST_CELLS = 100_000
 
 
 def modularity(snn: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -39,7 +42,7 @@ def _cut(df: DataFrame) -> DataFrame:
         import tempfile
 
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="grainfield-"))
-    return df.checkpoint()
+    return without_statistics(df.checkpoint())
 
 
 def local_moving(snn: DataFrame, cells: DataFrame, resolution: float = 0.8, sweeps: int = SWEEPS) -> DataFrame:
@@ -50,19 +53,21 @@ def local_moving(snn: DataFrame, cells: DataFrame, resolution: float = 0.8, swee
     if m == 0:
         return state.select("cell_id", "cluster")
     r = float(resolution)
+    state_is_small = state.count() <= BROADCAST_CELLS
+    small = F.broadcast if state_is_small else (lambda df: df)
     for sweep in range(2 * sweeps):
-        tot = state.groupBy("cluster").agg(F.sum("k").alias("tot"))
-        to = snn.join(state.select(F.col("cell_id").alias("dst"), F.col("cluster").alias("c")), "dst").groupBy(F.col("src").alias("cell_id"), "c").agg(F.sum("weight").alias("k_in"))
-        open_ = state.where(F.pmod(F.xxhash64("cell_id", F.lit(sweep // 2)), F.lit(2)) == sweep % 2)
-        own = open_.select("cell_id", F.col("cluster").alias("c"), F.lit(0.0).alias("k_in"))
-        options = to.join(open_.select("cell_id"), "cell_id", "left_semi").unionByName(own).groupBy("cell_id", "c").agg(F.sum("k_in").alias("k_in"))
-        options = options.join(open_, "cell_id").join(tot.withColumnRenamed("cluster", "c"), "c")
+        turn = lambda column: F.pmod(F.xxhash64(column, F.lit(sweep // 2)), F.lit(2)) == sweep % 2  # noqa: B023, E731
+        tot = _cut(state.groupBy("cluster").agg(F.sum("k").alias("tot")).coalesce(8 if state_is_small else 10_000)).withColumnRenamed("cluster", "c")
+        to = snn.where(turn("src")).join(small(state.select(F.col("cell_id").alias("dst"), F.col("cluster").alias("c"))), "dst").select(F.col("src").alias("cell_id"), "c", "weight")
+        own = state.where(turn("cell_id")).select("cell_id", F.col("cluster").alias("c"), F.lit(0.0).alias("weight"))
+        options = to.unionByName(own).groupBy("cell_id", "c").agg(F.sum("weight").alias("k_in"))
+        options = options.join(small(state), "cell_id").join(small(tot), "c")
         outside = F.when(F.col("c") == F.col("cluster"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
         gain = F.col("k_in") / m - r * outside * F.col("k") / (2 * m * m)
         # the present community wins ties, then the least label
         best = options.groupBy("cell_id").agg(F.min(F.struct((-F.round(gain, 15)).alias("g"), (F.col("c") != F.col("cluster")).alias("moved"), F.col("c").alias("c"))).alias("best"))
-        new = state.join(best, "cell_id", "left").select("cell_id", "k", F.coalesce("best.c", "cluster").alias("cluster"), F.coalesce("best.moved", F.lit(False)).alias("moved"))
-        new = _cut(new)
+        new = state.join(small(best), "cell_id", "left").select("cell_id", "k", F.coalesce("best.c", "cluster").alias("cluster"), F.coalesce("best.moved", F.lit(False)).alias("moved"))
+        new = _cut(new.coalesce(8) if state_is_small else new)
         moved = new.where("moved").limit(1).count()
         state, idle = new.drop("moved"), (0 if moved else (idle + 1 if sweep else 1))
         if idle >= 2:

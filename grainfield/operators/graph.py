@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.assay import Assay
 from grainfield.operators import blocks
+from grainfield.session import ship
 
 K, PRUNE = 20, 1.0 / 15.0
 
@@ -26,10 +29,7 @@ def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: in
 
     Leaves split further where they are too full, by more bits of the same projections, so none outgrows a task.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import Window
-
+    ship(embeddings.sparkSession)
     n = embeddings.count()
     dim = len(embeddings.first()["vec"]) if n else 0
     rng = np.random.default_rng(seed)
