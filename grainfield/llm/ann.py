@@ -41,11 +41,13 @@ ROUNDS = 12
 #: queries that the pruning ratio is measured on, and the share of their neighbours that it has to reach.
 REPLICAS, REPLICATE = 4, 1.10
 LEAST_PROBES = 8
-MEASURED, WANTED = 128, 0.965
+MEASURED, WANTED = 128, 0.94
 #: Graph: neighbours of a centroid, breadth of the best-first search.
 DEGREE, BREADTH = 16, 96
 #: Vectors of a piece of a list, queries of a block.
 PIECE, BLOCK = 2_048, 512
+#: Postings of a shard: pieces of lists that one task searches together, so that a query returns k rows for each shard.
+SHARD = 16_384
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +156,21 @@ def _best_of(c: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, k: int) ->
     return o[:k], score[:k]
 
 
+def _unit_best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, candidate row) pairs that hold the k best of each query in one piece, ties at the edge by least id."""
+    s = q @ c.T
+    s[q_ids[:, None] == ids[None, :]] = -np.inf
+    if len(c) > k:
+        bar = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
+        slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(bar), bar, 0.0)))
+        sure, edge = s > (bar + slack)[:, None], np.abs(s - bar[:, None]) <= slack[:, None]
+        # of candidates as good as the k-th, k of least id are enough
+        order = np.argsort(ids, kind="stable")
+        edge[:, order] &= np.cumsum(edge[:, order], axis=1) <= 2 * k
+        return np.nonzero((sure | edge) & (s > -np.inf))
+    return np.nonzero(s > -np.inf)
+
+
 def _ratio(queries: DataFrame, rows: DataFrame, postings: DataFrame, centroids: np.ndarray, dim: int, k: int, longer, wanted: float) -> float:
     """The distance ratio within which a measured share of true neighbours have a list."""
     picked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).toArrow()
@@ -262,51 +279,68 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, column: str = "emb
                 near = [j for _, j in g.within(q, prune, LEAST_PROBES)]
                 at += [i] * len(near)
                 to += near
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(take), b.column(1).take(take)], ["list", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(pa.array(at, pa.int64()))], ["list", "vec_id"])
 
     schema = f"list long, vec_id long, v {dict(rows.dtypes)['v']}"
     postings = cut(rows.mapInArrow(posted, schema))
     prune = _ratio(rows.where(F.col("vec_id") % every == 0), rows, postings, centroids.value, dim, k, longer, wanted)
-    queries = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(asked, schema))
-
-    def best(queries: DataFrame, postings: DataFrame) -> DataFrame:
-        """query_id, vec_id, score: the k best of each piece."""
-        sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-        blocks = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        shape = F.broadcast(sizes.join(blocks, "list"))  # one row for each list, at most MOST_LISTS
-        deal = lambda of, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(of)).cast("int")
-        every_ = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-        p = postings.join(shape, "list").select("list", deal("pieces", 1).alias("piece"), every_("blocks").alias("block"), "vec_id", "v", F.lit(False).alias("q"))
-        q = queries.join(shape, "list").select("list", every_("pieces").alias("piece"), deal("blocks", 2).alias("block"), "vec_id", "v", F.lit(True).alias("q"))
+    queries = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(asked, "list long, vec_id long"))
+    shards = max(1, -(-postings.count() // SHARD))
+
+    def best(queries: DataFrame) -> DataFrame:
+        """query_id, vec_id, score: the k best that a query finds in each shard."""
+        sizes = F.broadcast(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")))  # at most MOST_LISTS rows
+        unit = F.xxhash64("list", "piece")
+        shard = F.pmod(unit, F.lit(shards)).cast("int").alias("shard")
+        p = postings.join(sizes, "list").withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("pieces")).cast("int"))
+        p = p.select(shard, F.array(unit).alias("units"), "vec_id", "v")
+        q = queries.join(sizes, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        q = q.select(shard, "vec_id", unit.alias("unit")).groupBy("shard", "vec_id").agg(F.collect_set("unit").alias("units"))
+        blocks = F.broadcast(q.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))  # a row for each shard
+        q = q.join(rows, "vec_id").join(blocks, "shard").select("shard", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "units", "vec_id", "v", F.lit(True).alias("q"))
+        p = p.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "units", "vec_id", "v", F.lit(False).alias("q"))
 
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
             is_q = pdf["q"].to_numpy(bool)
-            ids = pdf["vec_id"].to_numpy(np.int64)
-            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)  # at most a piece and a block
-            qi, ci = ids[is_q], ids[~is_q]
-            order = np.argsort(ci, kind="stable")
-            ci, cv = ci[order], v[~is_q][order]
-            got = []
-            for i, x in zip(qi, v[is_q], strict=True):
-                o, score = _best_of(cv, ci, x, i, k)
-                got.append((np.full(len(o), i), ci[o], score))
-            cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            ids, units = pdf["vec_id"].to_numpy(np.int64), pdf["units"].to_numpy()
+            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)  # at most a shard and a block
+            members: dict[int, list[int]] = {}
+            askers: dict[int, list[int]] = {}
+            for i in np.flatnonzero(~is_q):
+                members.setdefault(int(units[i][0]), []).append(i)
+            for i in np.flatnonzero(is_q):
+                for u in units[i]:
+                    askers.setdefault(int(u), []).append(i)
+            got: dict[int, list[np.ndarray]] = {}
+            for u, at in askers.items():
+                if u not in members:
+                    continue
+                c, qs = np.array(members[u]), np.array(at)
+                a, b = _unit_best(v[qs], ids[qs], v[c], ids[c], k)
+                for i in np.unique(a):
+                    got.setdefault(int(qs[i]), []).append(c[b[a == i]])
+            out = []
+            for i, parts in got.items():
+                c = np.concatenate(parts)
+                c = c[np.unique(ids[c], return_index=True)[1]]
+                o, score = _best_of(v[c], ids[c], v[i], ids[i], k)
+                out.append((np.full(len(o), ids[i]), ids[c][o], score))
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-        return p.unionByName(q).groupBy("list", "piece", "block").applyInPandas(search, "query_id long, vec_id long, score double")
+        return p.unionByName(q).groupBy("shard", "block").applyInPandas(search, "query_id long, vec_id long, score double")
 
     def top(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return found.select("query_id", F.row_number().over(w).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
-    found = cut(top(best(queries, postings)))
+    found = cut(top(best(queries)))
     # queries that came out short look into every list
     short = queries.select("vec_id").distinct().join(found.where(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     short = cut(short)
     if n > 1 and short.limit(1).count():
         every_list = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(centroids.value) - 1).cast("long")))
-        again = queries.join(short, "vec_id", "left_semi").dropDuplicates(["vec_id"]).select(every_list.alias("list"), "vec_id", "v")
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(top(best(again, postings)))
+        again = queries.join(short, "vec_id", "left_semi").select("vec_id").distinct().select(every_list.alias("list"), "vec_id")
+        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(top(best(again)))
     return found.select("query_id", "rank", "vec_id", "score")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainfield.session import ship
+
+__all__ = ["arrow_rows", "broadcast_if_small", "cut", "let", "lower_ascii", "new_folder", "shared_dir", "ship", "table", "words"]
+
 #: White space of the word rule of every operator: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,15 +75,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the Python workers of any cluster import this package (once for each context)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_grainfield_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="grainfield-")) / "grainfield.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent).as_posix())
-    sc.addPyFile(str(target))
-    sc._grainfield_shipped = True
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows, for what is materialised inside: bounds a Python worker's memory for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)

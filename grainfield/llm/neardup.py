@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grainfield.llm.common import broadcast_if_small, cut, ship
+from grainfield.llm.common import arrow_rows, broadcast_if_small, cut, ship
+from grainfield.session import without_statistics
 
 SHINGLE = 5
 #: Links: PERCENT * union <= 100 * intersection.
@@ -126,9 +127,9 @@ def components(edges: DataFrame, rows: int | None = None, most_rounds: int = 50)
         # a root moves under the least label that any of its nodes sees
         hook = seen.groupBy(F.col("label").alias("root")).agg(F.min("near").alias("hook"))
         moved = seen.join(hook, F.col("label") == F.col("root")).select("node", F.col("label").alias("old"), F.least("label", "near", "hook").alias("label"))
-        moved = cut(moved, rows)
+        moved = without_statistics(cut(moved, rows))
         jump = moved.select(F.col("node").alias("_n"), F.col("label").alias("_up"))
-        new = cut(moved.join(jump, F.col("label") == F.col("_n"), "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "old"), rows)
+        new = without_statistics(cut(moved.join(jump, F.col("label") == F.col("_n"), "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "old"), rows))
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         labels = new.drop("old")
         if not changed:
@@ -179,6 +180,11 @@ def _settle(open_: DataFrame, sets: DataFrame, count: int) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
+    with arrow_rows(docs.sparkSession, 1_000):
+        return _near_dedup(docs)
+
+
+def _near_dedup(docs: DataFrame) -> DataFrame:
     signed = cut(_signed(docs))
     # equal sets are one node, named by its least doc_id
     filled = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())

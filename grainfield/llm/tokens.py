@@ -10,7 +10,7 @@ from array import array
 import numpy as np
 
 #: Pieces in the memo of one Python worker before it becomes the old one, which a second like it replaces.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 250_000
 
 #: White space other than a plain space or line feed, or the mark that pieces are cut by.
 _ODD = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\0]")
