@@ -27,7 +27,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter or a sure language go."""
-    return _columns(language_id(docs).where("accepted"))
+    return _columns(language_id(docs.select(*COLUMNS)).where("accepted"))
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grainfield.session import ship
 
-__all__ = ["arrow_rows", "broadcast_if_small", "cut", "let", "lower_ascii", "new_folder", "shared_dir", "ship", "table", "words"]
+__all__ = ["arrow_rows", "broadcast_if_small", "cut", "let", "lower_ascii", "new_folder", "shared_dir", "ship", "table", "trim", "words"]
 
 #: White space of the word rule of every operator: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -85,3 +86,13 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, old)
+
+
+def trim() -> None:
+    """Give what a Python worker has freed back to the system: workers are kept and would hold the most they ever used."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainfield.llm.common import BROADCAST_ROWS, broadcast_if_small, cut, ship
+from grainfield.llm.common import BROADCAST_ROWS, broadcast_if_small, cut, ship, trim
 
 BUCKETS = 1 << 15
 #: Labelled rows for each language, languages, the pull of texts (share of a trigram's evidence that counts, and
@@ -64,7 +65,8 @@ def fit_text(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, languag
                 total = c.sum()
                 if total:
                     sums[label_] = sums.get(label_, 0) + c * min(1.0, 20_000 / total)
-        yield pd.DataFrame({"label": list(sums), "counts": [v.astype("<f4").tobytes() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"label": pd.Series(list(sums), dtype=object), "counts": [v.astype("<f4").tobytes() for v in sums.values()]})
 
     got = texts.repartition(8).mapInPandas(count, "label string, counts binary").collect()
     table = np.zeros((BUCKETS, len(names)))
@@ -77,11 +79,11 @@ def fit_text(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, languag
 def _likelihood(model: np.ndarray):
     n = model.shape[1]
 
-    @F.pandas_udf("array<double>")
-    def text_likelihood(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def text_likelihood(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts:
-            codes = _codes(text) if isinstance(text, str) and any(map(str.isalpha, text)) else ()
+        for text in texts.to_pylist():
+            codes = _codes(text) if text and any(map(str.isalpha, text)) else ()
             if not len(codes):
                 out.append([0.0] * n)
                 continue
@@ -90,7 +92,8 @@ def _likelihood(model: np.ndarray):
                 total += model[codes[i : i + 65_536]].sum(axis=0, dtype=np.float64)
             total *= TEMPER * min(1.0, MOST_TRIGRAMS / len(codes))
             out.append((total - total.max()).tolist())
-        return pd.Series(out)
+        trim()
+        return pa.array(out, pa.list_(pa.float64()))
 
     return text_likelihood
 
@@ -108,15 +111,18 @@ def language_id(docs: DataFrame, host: Column | None = None, markup: Column | No
     """docs with lang_id, posterior, accepted. host: defaults to the column source; markup: to the text."""
     ship(docs.sparkSession)
     names, model = fit_text(docs, label, sample)
-    kept = [F.col(c) for c in docs.columns if c not in ("lang_id", "posterior", "accepted")]
+    named = [c for c in docs.columns if c not in ("lang_id", "posterior", "accepted")]
+    # the input's columns travel as one, so that none of their names meets one of ours
+    whole = F.struct(*[F.col(f"`{c}`") for c in named]).alias("_row")
+    kept = [F.col("_row").getField(c).alias(c) for c in named]
     n = len(names)
     if n == 0:
-        return docs.select(*kept, F.lit("und").alias("lang_id"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
+        return docs.select(whole).select(*kept, F.lit("und").alias("lang_id"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     likelihood = _likelihood(model)
     where = F.col("source") if host is None else host
     declared = F.lower(F.regexp_extract(F.coalesce(F.col("text") if markup is None else markup, F.lit("")), _DECLARED, 1))
     codes = F.array(*[F.lit(x) for x in names])
-    seen = docs.select(*kept, where.alias("_host"), _suffix(where).alias("_suffix"), F.nullif(F.array_position(codes, declared), F.lit(0)).alias("_said"), likelihood("text").alias("_text"))
+    seen = docs.select(whole, where.alias("_host"), _suffix(where).alias("_suffix"), F.nullif(F.array_position(codes, declared), F.lit(0)).alias("_said"), likelihood("text").alias("_text"))
 
     # one row for each host, suffix, declaration and language from text alone
     counted = cut(seen.select("_host", "_suffix", "_said", _best(F.col("_text")).alias("_is")).where(F.col("_is").isNotNull()).groupBy("_host", "_suffix", "_said", "_is").agg(F.count(F.lit(1)).alias("n")))

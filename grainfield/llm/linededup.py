@@ -64,13 +64,15 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, ba
     gone = hits.join(broadcast_if_small(lines.select("h", "first_doc"), None, broadcast_rows), "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_gone"))
     kept = [c for c in docs.columns if c != "n_removed"]
-    joined = docs.select(kept).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
+    # the input's columns travel as one, so that none of their names meets one of ours
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "doc_id", "text")
+    joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
     all_ = _lines(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("_gone"))
     # bind the split text once; the lambda reads it by position
     rebuilt = F.get(F.transform(F.array(F.struct(all_.alias("l"), left.alias("k"))), lambda x: F.array_join(F.transform(x["k"], lambda i: F.get(x["l"], i)), "\n")), F.lit(0))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rebuilt)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in kept], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in kept], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def sql(min_sites: int = MIN_SITES) -> str:

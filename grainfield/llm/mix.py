@@ -95,7 +95,7 @@ def _tilt(sizes: DataFrame, goals: DataFrame, most: int, n_sources: int) -> Data
         scale = words / n.sum()
         full = not words or target >= words * (most - 1e-9)
         tilt = None if full else _solve(size, n, target, scale, float(most))
-        return pd.DataFrame({"source": pdf["source"].iloc[:1], "scale": [scale or 1.0], "tilt": pd.array([tilt], "Float64")})
+        return pd.DataFrame({"source": pd.Series([pdf["source"].iloc[0]], dtype=object), "scale": [scale or 1.0], "tilt": pd.Series([tilt], dtype=object)})
 
     return joined.groupBy("source").applyInPandas(one, "source string, scale double, tilt double")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grainfield.llm.common import arrow_rows, broadcast_if_small, cut, ship
+from grainfield.llm.common import arrow_rows, broadcast_if_small, cut, ship, trim
 from grainfield.session import without_statistics
 
 SHINGLE = 5
@@ -90,6 +90,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 sig.append(signature(s).tobytes() if len(s) else None)
             f = np.array(f, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sig, pa.binary())], ["doc_id", "n", "f0", "f1", "sig"])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n long, f0 long, f1 long, sig binary")
@@ -101,6 +102,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "s"])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.join(broadcast_if_small(ids), "id", "left_semi").mapInArrow(run, "id long, s binary")
@@ -112,7 +114,9 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
+    out = pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
+    trim()
+    return out
 
 
 def components(edges: DataFrame, rows: int | None = None, most_rounds: int = 50) -> DataFrame:
@@ -172,6 +176,8 @@ def _settle(open_: DataFrame, sets: DataFrame, count: int) -> DataFrame:
                 common = hits[ends] - hits[ends - size[r]]
                 ok = fits & (100 * common >= PERCENT * (size[r] + size[i] - common))
                 out += [(int(ids[i]), int(ids[j])) for j in r[ok]]
+        del arrays
+        trim()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return blocks.groupBy("main", "o", "p").applyInPandas(block, "a long, b long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfield.llm import tokens
-from grainfield.llm.common import ship
+from grainfield.llm.common import ship, trim
 
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 64
@@ -39,9 +39,9 @@ WITH_IDS = SCHEMA + ", ids binary"
 class Packer:
     """Sequences of one partition. Pieces are (doc_id, start, ids, doc_tokens, first loss-bearing id of the document)."""
 
-    def __init__(self, first_id: int, max_tokens: int, max_segments: int, max_loss: int, dtype: np.dtype, pool: int = POOL):
+    def __init__(self, first_id: int, max_tokens: int, max_segments: int, max_loss: int, dtype: np.dtype, pool: int = POOL, with_ids: bool = True):
         self.next_id, self.limits, self.dtype, self.pool = first_id, np.array([max_tokens, max_segments, max_loss], float), dtype, pool
-        self.size = dtype.itemsize
+        self.size, self.with_ids = dtype.itemsize, with_ids
         self.pieces: list[tuple] = []
         self.need = np.zeros((2 * pool, 3))
         self.out: list[tuple] = []
@@ -67,7 +67,7 @@ class Packer:
         for p in bin_:
             n = len(p[2]) // self.size
             wide = np.frombuffer(p[2], self.dtype).astype("<u4").tobytes()
-            self.out.append((p[0], p[1], n, zlib.crc32(wide), p[3], self._loss(p), self.next_id, at, wide))
+            self.out.append((p[0], p[1], n, zlib.crc32(wide), p[3], self._loss(p), self.next_id, at, wide if self.with_ids else b""))
             at += n
         self.next_id += 1
 
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
         enc = tokens.encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         task = TaskContext.get()
-        packer = Packer((task.partitionId() if task else 0) << 32, max_tokens, max_segments, most_loss, enc.dtype)
+        packer = Packer((task.partitionId() if task else 0) << 32, max_tokens, max_segments, most_loss, enc.dtype, with_ids=with_ids)
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*packer.out, strict=True))[: len(names)]
@@ -155,6 +155,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
         packer.drain(0)
         if packer.out:
             yield flush()
+        trim()
 
     before = F.col(prompt) if prompt else F.lit(None)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), before.cast("string").alias("_before")).mapInArrow(run, WITH_IDS if with_ids else SCHEMA)

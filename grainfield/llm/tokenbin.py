@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.llm import tokens
-from grainfield.llm.common import cut, ship
+from grainfield.llm.common import cut, ship, trim
 
 END_ID = 0
 MAGIC = b"GFIDS001"
@@ -182,6 +182,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             f.write(np.array(offsets, "<u8").tobytes())
             f.write(struct.pack(TRAILER, len(offsets) - 1, offsets[-1], enc.width, MAGIC))
         out.move(tmp, f"{top}/shard-{shard:06d}.ids")
+        trim()
 
     manifest = cut(rows.mapInArrow(one_shard, MANIFEST))
     write_index(manifest, folder)
