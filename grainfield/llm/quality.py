@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from grainfield.llm.common import SPACE_CLASS, let, words
 
 #: N-gram buckets (the weights, 8 bytes each, are the only thing sent to every task), the bound on the trusted
-#: documents that the target is fitted on, the pseudo-count, and the least mean log ratio (nats per n-gram).
+#: documents that the target is fitted on, the pseudo-count, and the least mean log ratio (nats for each n-gram).
 BUCKETS = 65_536
 TRUSTED_BOUND = 20_000
-SMOOTHING = 1.0
+SMOOTHING = 4.0
 THRESHOLD = -0.09
 
 
@@ -85,8 +85,9 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: i
     # at most `buckets` rows reach the driver; the weights go back as one literal array, read by position
     rows = counts.collect()
     raw, target = sum(r["raw"] for r in rows), sum(r["target"] for r in rows)
-    share = lambda n, of: (n + smoothing) / (of + smoothing * buckets)
-    weight = {r["bucket"]: math.log(share(r["target"], target) / share(r["raw"], raw)) for r in rows} if target else {}
+    # log ratio of the two shares, drawn to 0 where the target is too small to have seen the bucket anyway
+    expected = target / raw if raw else 0.0
+    weight = {r["bucket"]: math.log((r["target"] + smoothing) / (r["raw"] * expected + smoothing)) for r in rows} if target else {}
     weights = F.split(F.lit(",".join(f"{weight.get(i, 0.0):.9g}" for i in range(buckets))), ",").cast("array<double>")
     llr = let(
         let(words(F.col("text")), lambda w: _buckets(w, buckets)),
