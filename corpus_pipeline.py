@@ -17,6 +17,7 @@ from grainfield.llm.mix import mix
 from grainfield.llm.neardup import near_dedup
 from grainfield.llm.packing import pack
 
+MEMO = 250_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -53,8 +54,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
-    return pack(docs)
+    """Pieces of sequences of 1024 tokens. The workers also serve the other stages, so the encoder remembers less."""
+    return pack(docs, memo=MEMO)
 
 
 STAGES = [

@@ -127,8 +127,8 @@ class Packer:
             self._emit(bin_)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = END_ID, prompt: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row for each piece. prompt: a column whose ids come before the text's and bear no loss. with_ids: also the ids, as little-endian unsigned 32-bit integers."""
+def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = END_ID, prompt: str | None = None, with_ids: bool = False, memo: int | None = None) -> DataFrame:
+    """One row for each piece. prompt: a column whose ids come before the text's and bear no loss. with_ids: also the ids, as little-endian unsigned 32-bit integers. memo: pieces that a worker's encoder remembers (memory against CPU)."""
     if min(max_tokens, max_segments, max_loss or max_tokens) < 1:
         raise ValueError("limits must be 1 or more")
     ship(docs.sparkSession)
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
     names = (WITH_IDS if with_ids else SCHEMA).replace(",", "").split()[::2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, memo)
         end = np.array([end_id], enc.dtype).tobytes()
         task = TaskContext.get()
         packer = Packer((task.partitionId() if task else 0) << 32, max_tokens, max_segments, most_loss, enc.dtype, with_ids=with_ids)

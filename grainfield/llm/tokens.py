@@ -10,7 +10,7 @@ from array import array
 import numpy as np
 
 #: Pieces in the memo of one Python worker before it becomes the old one, which a second like it replaces.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 500_000
 
 #: White space other than a plain space or line feed, or the mark that pieces are cut by.
 _ODD = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\0]")
@@ -52,6 +52,7 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.byte_letters = _byte_letters()
         self.old: dict[str, bytes] = {}
+        self.limit = MEMO_PIECES
         self[""] = b""
 
     def plain(self, text: str) -> bytes:
@@ -81,7 +82,7 @@ class Encoder(dict):
             return b""
         if not self.splits or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text):
             return self.plain(text)
-        if len(self) > MEMO_PIECES:
+        if len(self) > self.limit:
             # what is still in use comes over from the old memo
             self.old = dict(self)
             self.clear()
@@ -92,10 +93,11 @@ class Encoder(dict):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
+def encoder(path: str, memo: int | None = None) -> Encoder:
+    """One for each worker process and file; memo: pieces to remember, MEMO_PIECES unless given."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].limit = memo or MEMO_PIECES
     return _ENCODERS[path]
 
 
