@@ -60,15 +60,21 @@ class Encoder(dict):
 
     def one_word(self, piece: str) -> bytes:
         """Of letters with at most one space before them: a single word to the model, which is asked directly."""
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_letters))
+        if piece.isascii():
+            letters = "\u0120" + piece[1:] if piece[0] == " " else piece
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.byte_letters)
+        found = self.model.tokenize(letters)
         return array("H" if self.width == 2 else "I", [t.id for t in found]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             body = piece[1:] if piece[0] == " " else piece
-            if body.isalpha() and max(body) < _SETTLED:
+            if body.isalpha() and (body.isascii() or max(body) < _SETTLED):
                 ids = self.one_word(piece)
+            elif piece[-1] in ".,;:!?" and len(piece) > 2 and piece[-2].isascii() and piece[-2].isalpha():
+                ids = self[piece[:-1]] + self[piece[-1]]
             elif parts := _WORD_AND_MARKS.fullmatch(piece):
                 ids = self[parts[1]] + self[parts[2]]
             else:
