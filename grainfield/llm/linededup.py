@@ -48,7 +48,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, b
     places = places.where(F.col("h").isNotNull())
     spread = places.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_doc"))
     sized = spread.select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("estimate"))
-    found = cut(sized.where(F.col("estimate") >= min_sites * (1 - band)))
+    # lines on several sites are fewer than documents: that many files hold them
+    found = cut(sized.where(F.col("estimate") >= min_sites * (1 - band)), docs.count())
     n = found.count()
     hits = cut(places.join(broadcast_if_small(found.select("h", "estimate"), n, broadcast_rows), "h"))
     near = F.col("estimate") <= min_sites * (1 + band)
