@@ -12,6 +12,12 @@ from grainfield.operators import blocks
 from grainfield.session import ship
 
 K, PRUNE = 20, 1.0 / 15.0
+#: Approximate neighbours: cells that the probes are measured on, and the share of their neighbours to be reached.
+MEASURED, WANTED = 128, 0.95
+#: Probes are worth their copies where they leave out so much: all rows over those visited, at least.
+SAVING = 4
+#: Rows of a leaf and queries of it that one task holds; queries compared at once; leaves that may be broadcast.
+PIECE, BLOCK, ROWS, LEAVES = 8_192, 8_192, 256, 100_000
 
 
 def knn(embeddings: DataFrame, k: int = K, dims: int | None = None) -> DataFrame:
@@ -24,45 +30,140 @@ def knn(embeddings: DataFrame, k: int = K, dims: int | None = None) -> DataFrame
     return own.unionByName(blocks.nearest(rows, rows, k - 1).withColumnRenamed("id", "cell_id"))
 
 
-def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: int | None = None, seed: int = 42) -> DataFrame:
-    """As knn, from random-projection forests: candidates share a leaf of sign bits in one of several tables.
-
-    Leaves split further where they are too full, by more bits of the same projections, so none outgrows a task.
+def _best_of_piece(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """id, nbr_id, dist: for each query the k rows nearest by (distance, id) of one piece of a leaf."""
+    pdf = pdf.sort_values("id")
+    q, c = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    names = ("id", "nbr_id", "dist")
+    if not len(q) or not len(c):
+        return pd.DataFrame(dict(zip(names, out[0], strict=True)))
+    x, y = (np.stack(t["vec"].to_numpy()).astype(float) for t in (q, c))
+    ids, own = c["id"].to_numpy(), q["id"].to_numpy()
+    fine = np.isfinite(y).all(axis=1)
+    y, ids = y[fine], ids[fine]
+    mean = y.mean(axis=0) if len(y) else 0.0
+    u, v = x - mean, y - mean
+    vv = (v * v).sum(axis=1)
+    for at in range(0, len(x) if len(y) else 0, ROWS):
+        w = u[at : at + ROWS]
+        ww = (w * w).sum(axis=1)[:, None]
+        rough = ww + vv[None] - 2 * w @ v.T
+        rough[own[at : at + ROWS, None] == ids[None]] = np.inf
+        # the product may differ in the last digits: all that may be among the k are compared exactly
+        bar = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if len(y) > k else np.full((len(w), 1), np.inf)
+        maybe = ~(rough > bar + 1e-9 * (ww + vv.max()))
+        for i in range(len(w)):
+            o = np.flatnonzero(maybe[i])
+            o = o[ids[o] != own[at + i]]
+            d = np.sqrt(((y[o] - x[at + i]) ** 2).sum(axis=1))
+            best = np.argsort(d, kind="stable")[:k]
+            best = best[np.isfinite(d[best])]
+            out.append((np.full(len(best), own[at + i]), ids[o[best]], d[best]))
+    return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def _in_leaves(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """id, rank (from 1), nbr_id, dist of the k best in all leaves that an id asks; both: leaf, id, vec, pieces, blocks.
+
+    A leaf is dealt in pieces and those that ask it in blocks, so that none outgrows a task.
+    """
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = asked.select("leaf", "id", "vec", every("pieces").alias("piece"), deal("blocks").alias("block"), F.lit(True).alias("asks"))
+    b = held.select("leaf", "id", "vec", deal("pieces").alias("piece"), every("blocks").alias("block"), F.lit(False).alias("asks"))
+    found = a.unionByName(b).groupBy("leaf", "piece", "block").applyInPandas(lambda pdf: _best_of_piece(pdf, k), "id long, nbr_id long, dist double")
+    w = Window.partitionBy("id").orderBy("dist", "nbr_id")
+    return found.distinct().select("id", F.row_number().over(w).alias("rank"), "nbr_id", "dist").where(F.col("rank") <= k)
+
+
+def _in_all(asked: DataFrame, rows: DataFrame, n_asked: int, n: int, k: int) -> DataFrame:
+    """As _in_leaves, of all rows as one leaf: exact."""
+    sizes = [F.lit(0).cast("long").alias("leaf"), "id", "vec", F.lit(max(1, -(-n // PIECE))).alias("pieces"), F.lit(max(1, -(-n_asked // BLOCK))).alias("blocks")]
+    return _in_leaves(asked.select(*sizes), rows.select(*sizes), k)
+
+
+def _probes(z: np.ndarray, bound: float) -> list[int] | None:
+    """Leaves (table, then bits) whose flipped projections, squared, add up to at most bound; None: as many as all rows have."""
+    tables, width = z.shape
+    out = []
+    for t in range(tables):
+        cost = z[t] ** 2
+        order = np.argsort(cost, kind="stable").tolist()
+        todo = [(0, int(((z[t] > 0) * (1 << np.arange(width))).sum()), 0.0)]
+        while todo:
+            start, leaf, spent = todo.pop()
+            out.append(t << width | leaf)
+            if len(out) >= 1 << width:
+                return None
+            for i in range(start, width):
+                if spent + cost[order[i]] > bound:
+                    break
+                todo.append((i + 1, leaf ^ (1 << order[i]), spent + cost[order[i]]))
+    return out
+
+
+def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: int | None = None, seed: int = 42, wanted: float = WANTED) -> DataFrame:
+    """As knn, from random-projection tables: candidates are in leaves of sign bits near the cell's own.
+
+    How near is measured: for a bounded sample of cells the true neighbours are found among all rows, and the bound on
+    flipped projections is the one within which the wanted share of them has a leaf. Where so many leaves hold a large share
+    of the rows, the search is exact, as it is for cells that need as many as there are or that come out short.
     """
     ship(embeddings.sparkSession)
+    own = embeddings.select("cell_id", F.lit(0).alias("rank"), F.col("cell_id").alias("nbr_id"), F.lit(0.0).alias("dist"))
     n = embeddings.count()
-    dim = len(embeddings.first()["vec"]) if n else 0
+    if k <= 1 or not n:
+        return own
+    rows = embeddings.select(F.col("cell_id").alias("id"), "vec")
+    dim = len(embeddings.first()["vec"])
     rng = np.random.default_rng(seed)
     width = bits or max(1, int(np.ceil(np.log2(max(2, n / 1024)))))
     planes = rng.standard_normal((tables, width, dim))
-
-    @F.pandas_udf("array<long>")
-    def leaves(vec: pd.Series) -> pd.Series:
-        x = np.stack(vec.to_numpy()).astype(float)
-        weights = 1 << np.arange(width)
-        return pd.Series(list(np.stack([((x @ p.T > 0) * weights).sum(axis=1) for p in planes], axis=1)))
-
-    mean = embeddings.select(F.posexplode("vec")).groupBy("pos").agg(F.avg("col").alias("m"))
-    centre = F.array(*[F.lit(float(r["m"])) for r in mean.orderBy("pos").collect()])
-    rows = embeddings.select("cell_id", "vec", leaves(F.zip_with("vec", centre, lambda a, b: a.cast("double") - b)).alias("leaf"))
-    rows = rows.select("cell_id", "vec", F.posexplode("leaf").alias("table", "leaf"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell_id")
-        x, ids = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["cell_id"].to_numpy()
-        out = []
-        for i in range(len(x)):
-            d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-            d[ids == ids[i]] = np.inf
-            o = np.argsort(d, kind="stable")[: k - 1]
-            o = o[np.isfinite(d[o])]
-            out.append(pd.DataFrame({"cell_id": ids[i], "nbr_id": ids[o], "dist": d[o]}))
-        return pd.concat(out)
-
-    found = rows.groupBy("table", "leaf").applyInPandas(search, "cell_id long, nbr_id long, dist double").distinct()
-    w = Window.partitionBy("cell_id").orderBy("dist", "nbr_id")
-    own = embeddings.select("cell_id", F.lit(0).alias("rank"), F.col("cell_id").alias("nbr_id"), F.lit(0.0).alias("dist"))
-    return own.unionByName(found.select("cell_id", F.row_number().over(w).alias("rank"), "nbr_id", "dist").where(F.col("rank") < k))
+    mean = embeddings.select(F.posexplode("vec")).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()
+    centre = np.array([float(r["m"]) for r in mean])
+    projected = lambda x: np.einsum("nd,twd->ntw", np.asarray(x, float) - centre, planes)
+
+    def result(found: DataFrame) -> DataFrame:
+        return own.unionByName(found.withColumnRenamed("id", "cell_id"))
+
+    def bound() -> float | None:
+        """None: an exact search is cheaper."""
+        if tables >= 1 << width:
+            return None
+        sample = rows.orderBy(F.xxhash64("id"), "id").limit(MEASURED).checkpoint()
+        true = F.broadcast(_in_all(sample, rows, MEASURED, n, k - 1).select(F.col("id").alias("q"), F.col("nbr_id").alias("id")))  # at most MEASURED * k
+        pairs = rows.join(true, "id").join(F.broadcast(sample.select(F.col("id").alias("q"), F.col("vec").alias("at"))), "q").select("at", "vec").collect()
+        if not pairs:
+            return None
+        a, b = projected([r["at"] for r in pairs]), projected([r["vec"] for r in pairs])
+        need = np.where((a > 0) != (b > 0), a * a, 0.0).sum(axis=2).min(axis=1)
+        found = float(np.quantile(need, wanted)) * (1 + 1e-9)
+        visits = [_probes(z, found) for z in projected([r["vec"] for r in sample.collect()])]
+        return found if np.mean([1 << width if v is None else len(v) for v in visits]) * SAVING < 1 << width else None
+
+    most = bound()
+    if most is None:
+        return result(_in_all(rows, rows, n, n, k - 1))
+
+    def coded(limit: float):
+        @F.pandas_udf("array<long>")
+        def leaves(vec: pd.Series) -> pd.Series:
+            return pd.Series([_probes(z, limit) for z in projected(np.stack(vec.to_numpy()))])
+
+        return rows.select("id", "vec", F.explode(leaves("vec")).alias("leaf"))
+
+    held, asked = coded(-1.0), coded(most)
+    pieces = held.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    sizes = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(pieces, "leaf").checkpoint()
+    sizes = F.broadcast(sizes) if sizes.count() <= LEAVES else sizes
+    found = _in_leaves(asked.join(sizes, "leaf"), held.join(sizes, "leaf"), k - 1).checkpoint()
+    full = found.where(F.col("rank") == min(k - 1, n - 1)).select("id")
+    short = rows.join(full, "id", "left_anti").checkpoint()
+    n_short = short.count()
+    if n_short:
+        found = found.join(short.select("id").distinct(), "id", "left_anti").unionByName(_in_all(short, rows, n_short, n, k - 1))
+    return result(found)
 
 
 def snn(neighbours: DataFrame, k: int = K, prune: float = PRUNE) -> DataFrame:
