@@ -28,12 +28,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _within_a_piece(token: dict) -> bool:
+    """An added token that no cut goes through: without white space, and unlike a word with marks behind it."""
+    text = token["content"]
+    apart = re.search(r"[!-&(-/:-@\[-`{-~].*[^\W\d_]", text) and text[-1] not in ".,;:!?"
+    return bool(apart) and not any(c.isspace() or c == "\0" for c in text) and not any(token.get(k) for k in ("lstrip", "rstrip", "single_word"))
+
+
 class Encoder(dict):
     """piece -> ids as little-endian bytes; 2 bytes an id where the vocabulary allows, else 4.
 
     Byte-level BPE with its own word pattern never merges across a lone space or a lone line feed between other
     characters, so a text without other white space is the concatenation of its pieces there. All other texts, and all
-    texts of other kinds of tokenizers, are encoded as they stand.
+    texts of other kinds of tokenizers, are encoded as they stand. Added tokens in a text are found as the file says.
     """
 
     def __init__(self, path: str):
@@ -42,13 +49,13 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
         self.splits = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
+        self.splits = self.splits and all(_within_a_piece(t) for t in kind.get("added_tokens") or [])
         self.model = self.tokenizer.model
         self.byte_letters = _byte_letters()
         self.old: dict[str, bytes] = {}
