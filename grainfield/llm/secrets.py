@@ -47,7 +47,11 @@ HARMLESS_PARTS = {"public", "name", "id", "file", "path", "url", "type", "length
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|<.*>|\$\{?.*\}?|%\(?.*|\{\{.*\}\}|(?:your|my|the|some|change|replace|insert|enter|example|sample|dummy|test|todo|none|null|undefined|true|false|password|secret|token)[\w\s-]*)$")
 
 _OPERAND = r"""(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`|[A-Za-z_][\w.]*)"""
-_BIND = re.compile(rf"""(?P<name>[A-Za-z_][\w.-]*)["'\]]{{0,2}}[ \t]*(?::=|=>|=(?!=)|:)[ \t]*(?P<value>{_OPERAND}(?:[ \t]*\+?[ \t]*{_OPERAND}){{0,8}})""")
+_SIGN = r"""["'\]]{0,2}[ \t]*(?::=|=>|=(?!=)|:)"""
+#: A further operand may be a name without a plus before it, unless that begins the next binding.
+_FURTHER = rf"""(?:[ \t]*\+[ \t]*{_OPERAND}|[ \t]*(?!(?:[A-Za-z_][\w.-]*+){_SIGN}){_OPERAND})"""
+#: A value that is itself the name of a binding (a = b = "...", a: type = "...") is left to be read next.
+_BIND = re.compile(rf"""(?P<name>[A-Za-z_][\w.-]*){_SIGN}[ \t]*(?:(?=(?P<chained>[A-Za-z_][\w.-]*+){_SIGN})|(?P<value>{_OPERAND}{_FURTHER}{{0,8}}+))""")
 _PIECE = re.compile(_OPERAND)
 _BARE = re.compile(r"""(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|--?)?(?P<name>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<value>[^\s"'`<>{}\[\]();,]{8,})[ \t]*;?\r?$""")
 _ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*)[^<>\n]*>(?P<value>[^<>\n]{8,})</(?P=name)>")
@@ -84,14 +88,24 @@ def lexed(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
         found[m.start("name")] = (m["name"], [(m["value"], m.start("value"), m.end("value"))])
     for m in _ELEMENT.finditer(text):
         found[m.start("name")] = (m["name"], [(m["value"], m.start("value"), m.end("value"))])
+    chain: list[tuple[str, int]] = []
+    follows = -1
     for m in _BIND.finditer(text):
+        if m.start("name") != follows:
+            chain = []
+        if m["value"] is None:
+            chain.append((m["name"], m.start("name")))
+            follows = m.start("chained")
+            continue
         out = []
         for p in _PIECE.finditer(m["value"]):
             at = m.start("value") + p.start()
             s = p[0]
             out.append((s[1:-1], at + 1, at + len(s) - 1) if s[0] in "\"'`" else (s, -1, -1))
-        if m.start("name") not in found or any(x[1] >= 0 for x in out):
-            found[m.start("name")] = (m["name"], out)
+        for name, at in [*chain, (m["name"], m.start("name"))]:
+            if at not in found or any(x[1] >= 0 for x in out):
+                found[at] = (name, out)
+        chain = []
     yield from (found[k] for k in sorted(found))
 
 

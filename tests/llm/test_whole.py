@@ -3,6 +3,7 @@
 import numpy as np
 
 from grainfield.llm import tokens
+from grainfield.llm.secrets import scan
 
 
 def test_added_tokens_in_texts():
@@ -12,3 +13,13 @@ def test_added_tokens_in_texts():
     for t in ["a <|endoftext|> b", "<|endoftext|>", "end.<|endoftext|>\nnext<|endoftext|>!", "a  <|endoftext|>", "<|endoftext", "it's x<|endoftext|>y."]:
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == fresh.encode(t, add_special_tokens=False).ids
     assert np.frombuffer(e.encode("a <|endoftext|> b"), e.dtype).tolist() == [64, 220, 50256, 275]
+
+
+def literals(text):
+    return [text[a:b] for a, k, b in scan(text) if k == 3]
+
+
+def test_secrets_several_bindings_on_a_line():
+    value = "Xk29fjQ81mZ"
+    for line in ['<add name="db" pwd="{}"/>', 'export USER=app DB_PWD="{}"', '<input type="a" id="b" data-pwd="{}">', "A=b C=d client_pwd='{}' E=f", 'pwd: string = "{}"', 'db_pwd = self.pwd = "{}"']:
+        assert literals(line.format(value)) == [value], line
