@@ -26,6 +26,8 @@ from grainfield.llm.common import ship
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
+#: Characters of a literal at least.
+LEAST = 8
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -51,7 +53,7 @@ _SIGN = r"""["'\]]{0,2}[ \t]*(?::=|=>|=(?!=)|:)"""
 #: A further operand may be a name without a plus before it, unless that begins the next binding.
 _FURTHER = rf"""(?:[ \t]*\+[ \t]*{_OPERAND}|[ \t]*(?!(?:[A-Za-z_][\w.-]*+){_SIGN}){_OPERAND})"""
 #: A value that is itself the name of a binding (a = b = "...", a: type = "...") is left to be read next.
-_BIND = re.compile(rf"""(?P<name>[A-Za-z_][\w.-]*){_SIGN}[ \t]*(?:(?=(?P<chained>[A-Za-z_][\w.-]*+){_SIGN})|(?P<value>{_OPERAND}{_FURTHER}{{0,8}}+))""")
+_BIND = re.compile(rf"""(?P<name>[A-Za-z_][\w.-]*){_SIGN}[ \t]*(?:(?=(?P<chained>[A-Za-z_][\w.-]*+){_SIGN})|(?P<value>{_OPERAND}{_FURTHER}*+))""")
 _PIECE = re.compile(_OPERAND)
 _BARE = re.compile(r"""(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|--?)?(?P<name>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<value>[^\s"'`<>{}\[\]();,]{8,})[ \t]*;?\r?$""")
 _ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*)[^<>\n]*>(?P<value>[^<>\n]{8,})</(?P=name)>")
@@ -69,12 +71,12 @@ def name_score(name: str) -> float:
     return best
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: how much a literal looks like a secret."""
+def literal_score(value: str, counts: Counter[str] | None = None) -> float:
+    """0 to 1: how much a literal looks like a secret. counts: of its characters, if known."""
     n = len(value)
-    if n < 8 or _PLACEHOLDER.match(value) or value.count(" ") > 2:
+    if n < LEAST or _PLACEHOLDER.match(value) or value.count(" ") > 2:
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    entropy = -sum(c / n * math.log2(c / n) for c in (counts or Counter(value)).values())
     score = min(1.0, max(0.0, (entropy - 1.5) / 1.5))
     if value.isalpha() and value.islower():
         score *= 0.6
@@ -109,23 +111,72 @@ def lexed(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     yield from (found[k] for k in sorted(found))
 
 
+class _Sum:
+    """Distinct literals in the order of a sum. Names see the first n of them, so that a longer sum goes on in place."""
+
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        self.parts: list[tuple[str, int, int]] = []
+        self.seen: set[int] = set()
+        self.whole = ""
+        self.counts: Counter[str] = Counter()
+        #: (parts judged together, score)
+        self.marks: list[tuple[int, float]] = []
+        for p in parts:
+            self.add(p)
+
+    def add(self, part: tuple[str, int, int]) -> None:
+        value, start, _ = part
+        # a repeat tells nothing new, except that a short text becomes long enough
+        if start in self.seen and (len(self.whole) >= LEAST or not value):
+            return
+        self.parts.append(part)
+        self.seen.add(start)
+        self.whole += value
+        self.counts.update(value)
+
+
 def literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    constants: dict[str, tuple[_Sum, int]] = {}
+    sums: list[_Sum] = []
     for name, operands in lexed(text):
-        reached = []
+        own, n = None, 0
         for value, start, end in operands:
-            reached += [(value, start, end)] if start >= 0 else constants.get(value, [])
-        reached = reached[:16]
-        constants[name] = reached
+            if start >= 0:
+                parts = [(value, start, end)]
+            elif value not in constants:
+                continue
+            elif own is None:
+                own, n = constants[value]
+                continue
+            else:
+                parts = constants[value][0].parts[: constants[value][1]]
+            if own is None or n < len(own.parts):
+                own = _Sum(own.parts[:n] if own else [])
+                sums.append(own)
+            for p in parts:
+                own.add(p)
+            n = len(own.parts)
+        constants.pop(name, None)
+        if own is None:
+            continue
+        constants[name] = (own, n)
         weight = name_score(name)
         if weight > 0:
-            whole = "".join(v for v, _, _ in reached)
-            for value, start, end in reached:
-                # parts of a sum are judged together
-                score = weight * literal_score(whole if len(reached) > 1 else value)
-                best[start, end] = max(best.get((start, end), 0.0), score)
+            # parts of a sum are judged together
+            judged = own if n == len(own.parts) else _Sum(own.parts[:n])
+            own.marks.append((n, weight * literal_score(judged.whole, judged.counts)))
+    best: dict[tuple[int, int], float] = {}
+    for own in sums:
+        most = dict[int, float]()
+        for n, score in own.marks:
+            most[n] = max(most.get(n, 0.0), score)
+        high = -1.0
+        for i in range(len(own.parts), 0, -1):
+            high = max(high, most.get(i, -1.0))
+            if high >= 0:
+                _, start, end = own.parts[i - 1]
+                best[start, end] = max(best.get((start, end), 0.0), high)
     return sorted((a, b, s) for (a, b), s in best.items())
 
 

@@ -23,3 +23,13 @@ def test_secrets_several_bindings_on_a_line():
     value = "Xk29fjQ81mZ"
     for line in ['<add name="db" pwd="{}"/>', 'export USER=app DB_PWD="{}"', '<input type="a" id="b" data-pwd="{}">', "A=b C=d client_pwd='{}' E=f", 'pwd: string = "{}"', 'db_pwd = self.pwd = "{}"']:
         assert literals(line.format(value)) == [value], line
+
+
+def test_secrets_long_sums():
+    parts = [f"k{i}Zq9{i * 7}xW" for i in range(40)]
+    lines = [f'private_key = "{parts[0]}"'] + [f'private_key = private_key + "{p}"' for p in parts[1:]]
+    assert literals("\n".join(lines)) == parts
+    assert literals("signing_key = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    assert literals('a = "aB3$xQz"\n' + "a = a + a\n" * 200 + "auth_key = a\n") == ["aB3$xQz"]
+    # a name keeps what it had when another goes on from it
+    assert literals('x = "Zq81kQm20vBn"\ny = x\nx = x + "Lm92xPq7Ty"\ndb_pwd = y\n') == ["Zq81kQm20vBn"]
