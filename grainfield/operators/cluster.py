@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.assay import Assay
-from grainfield.session import without_statistics
+from grainfield.session import checkpointed, without_statistics
 
 SWEEPS = 10
 #: Tables of one row for each cell are broadcast up to so many cells.
@@ -37,12 +37,7 @@ def renumber(clusters: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="grainfield-"))
-    return without_statistics(df.checkpoint())
+    return without_statistics(checkpointed(df))
 
 
 def local_moving(snn: DataFrame, cells: DataFrame, resolution: float = 0.8, sweeps: int = SWEEPS) -> DataFrame:

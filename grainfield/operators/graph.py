@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grainfield.assay import Assay
 from grainfield.operators import blocks
-from grainfield.session import ship
+from grainfield.session import checkpointed, ship
 
 K, PRUNE = 20, 1.0 / 15.0
 #: Approximate neighbours: cells that the probes are measured on, and the share of their neighbours to be reached.
@@ -131,7 +131,7 @@ def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: in
         """None: an exact search is cheaper."""
         if tables >= 1 << width:
             return None
-        sample = rows.orderBy(F.xxhash64("id"), "id").limit(MEASURED).checkpoint()
+        sample = checkpointed(rows.orderBy(F.xxhash64("id"), "id").limit(MEASURED))
         true = F.broadcast(_in_all(sample, rows, MEASURED, n, k - 1).select(F.col("id").alias("q"), F.col("nbr_id").alias("id")))  # at most MEASURED * k
         pairs = rows.join(true, "id").join(F.broadcast(sample.select(F.col("id").alias("q"), F.col("vec").alias("at"))), "q").select("at", "vec").collect()
         if not pairs:
@@ -155,11 +155,11 @@ def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: in
 
     held, asked = coded(-1.0), coded(most)
     pieces = held.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    sizes = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(pieces, "leaf").checkpoint()
+    sizes = checkpointed(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(pieces, "leaf"))
     sizes = F.broadcast(sizes) if sizes.count() <= LEAVES else sizes
-    found = _in_leaves(asked.join(sizes, "leaf"), held.join(sizes, "leaf"), k - 1).checkpoint()
+    found = checkpointed(_in_leaves(asked.join(sizes, "leaf"), held.join(sizes, "leaf"), k - 1))
     full = found.where(F.col("rank") == min(k - 1, n - 1)).select("id")
-    short = rows.join(full, "id", "left_anti").checkpoint()
+    short = checkpointed(rows.join(full, "id", "left_anti"))
     n_short = short.count()
     if n_short:
         found = found.join(short.select("id").distinct(), "id", "left_anti").unionByName(_in_all(short, rows, n_short, n, k - 1))

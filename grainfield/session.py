@@ -23,6 +23,29 @@ def ship(spark: SparkSession) -> None:
     sc._grainfield_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (driver and executors are one process) gets a folder of its own; a cluster is refused,
+    since its executors would not see the driver's folder.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="grainfield-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder, its lineage forgotten: a lost executor costs nothing of it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def without_statistics(df: DataFrame) -> DataFrame:
     """A checkpointed table without the size estimate it was made with.
 
