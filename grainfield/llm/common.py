@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -11,9 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfield.session import ship
+from grainfield.session import checkpointed, shared_folder, ship
 
-__all__ = ["arrow_rows", "broadcast_if_small", "cut", "let", "lower_ascii", "new_folder", "shared_dir", "ship", "table", "trim", "words"]
+__all__ = ["arrow_rows", "broadcast_if_small", "cut", "held", "let", "lower_ascii", "new_folder", "removed", "ship", "table", "trim", "words"]
 
 #: White space of the word rule of every operator: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -29,20 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="grainfield-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def removed(spark: SparkSession, path: str) -> bool:
+    """Take away a folder of the shared place, whatever file system it is on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -50,10 +43,14 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
 
     rows: about how many narrow rows there are, if known: they are kept in as few files as that asks for.
     """
-    shared_dir(df.sparkSession)
     if rows is not None:
         df = df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
-    return df.checkpoint()
+    return checkpointed(df)
+
+
+def held(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table of `rows` rows at most: kept by the driver where that is few, else materialised in the shared folder."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema) if rows <= BROADCAST_ROWS else cut(df, rows)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
