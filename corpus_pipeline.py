@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from grainfield.llm.common import broadcast_if_small, cut, new_folder, table
 from grainfield.llm.langid import language_id
 from grainfield.llm.linededup import line_dedup
-from grainfield.llm.mix import mix
+from grainfield.llm.mix import solve, word_count
 from grainfield.llm.neardup import near_dedup
 from grainfield.llm.packing import pack
 
@@ -37,20 +37,31 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of least doc_id."""
-    gone = cut(near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct())
-    return _columns(docs.join(broadcast_if_small(gone), "doc_id", "left_anti"))
+    """One document of each group of near copies, the one of least doc_id; rows that repeat its doc_id and text stay once.
+
+    Rows of one doc_id with several texts are one document with several parts: they stay or go together.
+    """
+    found = near_dedup(docs)
+    gone = cut(found.where(~F.col("kept")).select("doc_id").distinct())
+    left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
+    twice = cut(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
+    if twice.isEmpty():
+        return _columns(left)
+    again = left.join(broadcast_if_small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return _columns(left.join(broadcast_if_small(twice), "doc_id", "left_anti").unionByName(again))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    hashed = docs.withColumn("_t", F.xxhash64("text"))
-    taken = mix(hashed, carry=("_t",)).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "copies")
-    # rows that repeat one another are told apart by number
-    same = taken.withColumn("_m", F.row_number().over(Window.partitionBy("_d", "_u").orderBy("copies")))
-    rows = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("source")))
-    both = rows.join(same.where(F.col("copies") > 0), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u")) & (F.col("_n") == F.col("_m")))
-    return _columns(both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
+    """Each document as many times as the mix takes it.
+
+    The documents are written once with a row number and their size; the mix is solved on the narrow columns of that table
+    and applied to it row by row, so no text is shuffled and rows that repeat one another keep their own copies.
+    """
+    path = new_folder(spark, "mix")
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_rid"), word_count(F.col("text")).alias("size")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    taken = solve(rows.select("doc_id", "source", "size", "_rid")).applied(rows).where(F.col("copies") > 0)
+    return _columns(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
