@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids are fitted by k-means on a bounded sample of the vectors, a list that draws more than its share being split in
-two until all are balanced. A proximity graph over the centroids, held in memory, is searched best-first. Every
-vector goes into the list of its nearest centroid and, if it lies near a boundary, into those of further centroids within
-`replicate` times that distance whose direction the chosen ones do not cover already. A query visits all lists
-whose centroids are within a ratio of its nearest one's distance. That ratio is measured, not guessed: for a bounded sample of
-queries the true neighbours are found by going through all vectors, and the ratio is the one that reaches the
+two until all are balanced. A proximity graph over the centroids, held in memory, is searched best-first, a batch of vectors
+in step. Every vector goes into the list of its nearest centroid and, if it lies near a boundary, into those of further
+centroids within `replicate` times that distance whose direction the chosen ones do not cover already. A query visits all
+lists whose centroids are within a ratio of its nearest one's distance. That ratio is measured, not guessed: for a bounded
+sample of queries the true neighbours are found by going through all vectors, and the ratio is the one that reaches the
 wanted share of them. Largest inner product becomes nearest neighbour by one extra coordinate that gives all vectors
 the same length.
 
-Lists are dealt in pieces of bounded size, and the queries of a piece in blocks, so a list that holds a third of all
-vectors is searched by many tasks; each returns the k best of its piece for a query, scored in double precision
-on the original vectors. Only the centroids, at most `lists` of them, are sent to every task.
+Lists are dealt in pieces of bounded size, neighbouring lists share a shard, and the queries that ask a shard come in
+blocks, so a list that holds a third of all vectors is searched by many tasks and a vector is copied once for each block of
+queries that ask its shard; each task returns the k best of a shard for a query, scored in double precision on the
+original vectors. Only the centroids, at most `MOST_LISTS` of them, are sent to every task.
+
+Bounds: the fit sees SAMPLE vectors for each list it makes, up to SAMPLE * MOST_LISTS; beyond PER_LIST * MOST_LISTS
+vectors the lists grow longer instead of more numerous. Every vector is indexed at every size.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
 do those of another length than the most frequent one (ties: the shortest). Rows with null vec_id take no part. Of rows that
@@ -21,19 +25,21 @@ a query whose lists hold fewer than k gets them from all lists. Extra columns ar
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.llm.common import cut, ship
 
-#: Fit: sampled vectors, vectors for each list of the whole table, most lists, rounds of k-means.
-SAMPLE = 20_000
+#: Fit: vectors of the sample for each list (at least LEAST_SAMPLE in all), vectors for each list of the whole table, most
+#: lists, rounds of k-means.
+SAMPLE, LEAST_SAMPLE = 8, 20_000
 PER_LIST = 256
 MOST_LISTS = 16_384
 ROUNDS = 12
@@ -42,12 +48,10 @@ ROUNDS = 12
 REPLICAS, REPLICATE = 4, 1.10
 LEAST_PROBES = 8
 MEASURED, WANTED = 128, 0.94
-#: Graph: neighbours of a centroid, breadth of the best-first search.
-DEGREE, BREADTH = 16, 96
-#: Vectors of a piece of a list, queries of a block.
-PIECE, BLOCK = 2_048, 512
-#: Postings of a shard: pieces of lists that one task searches together, so that a query returns k rows for each shard.
-SHARD = 16_384
+#: Graph: neighbours of a centroid, breadth of the best-first search, centroids that it goes on from at once, vectors in step.
+DEGREE, BREADTH, STRIDE, STEP = 16, 96, 8, 512
+#: Vectors of a piece of a list, postings of a shard (pieces that one task searches together), queries of a block.
+PIECE, SHARD, BLOCK = 2_048, 16_384, 4_096
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,130 +85,162 @@ def balanced_centroids(x: np.ndarray, lists: int, rounds: int = ROUNDS, seed: in
     return np.unique(c, axis=0)
 
 
+def neighbouring(c: np.ndarray) -> np.ndarray:
+    """The rows of c in an order that keeps near ones together: halves by the widest coordinate, again and again."""
+    out: list[np.ndarray] = []
+    todo = [np.arange(len(c))]
+    while todo:
+        i = todo.pop()
+        if len(i) <= 2:
+            out.append(i)
+            continue
+        i = i[np.argsort(c[i, c[i].var(axis=0).argmax()], kind="stable")]
+        todo += [i[len(i) // 2 :], i[: len(i) // 2]]
+    return np.concatenate(out) if out else np.zeros(0, int)
+
+
 class Graph:
-    """Neighbour graph of centroids, searched best-first."""
+    """Neighbour graph of centroids, searched best-first for many vectors in step."""
 
     def __init__(self, c: np.ndarray, degree: int = DEGREE):
-        self.c, n = c, len(c)
+        self.c, self.norm, n = c, (c * c).sum(axis=1), len(c)
         near = [_nearest(c[i : i + 1024], c, degree + 1)[0] for i in range(0, n, 1024)]
         near = np.concatenate(near) if n else np.zeros((0, 1), int)
-        links: list[set[int]] = [set() for _ in range(n)]
-        for i, row in enumerate(near):
-            for j in row:
-                if i != j:
-                    links[i].add(int(j))
-                    links[int(j)].add(i)
-        # a ring through all, so that no part is cut off
-        for i in range(n):
-            if n > 1:
-                links[i].add((i + 1) % n)
-                links[(i + 1) % n].add(i)
-        self.links = [np.array(sorted(s), np.int64) for s in links]
+        links: list[list[int]] = [[int(j) for j in row if j != i] for i, row in enumerate(near)]
+        # as many links back, those of the nearest first, and a ring through all, so that no part is cut off
+        for rank in range(near.shape[1]):
+            for i in range(n):
+                j = int(near[i, rank])
+                if j != i and len(links[j]) < 2 * degree:
+                    links[j].append(i)
+        for i in range(n if n > 1 else 0):
+            links[i].append((i + 1) % n)
+            links[(i + 1) % n].append(i)
+        width = max([len(set(x)) for x in links], default=0)
+        self.links = np.full((n, width), -1, np.int64)
+        for i, row in enumerate(links):
+            row = sorted(set(row))
+            self.links[i, : len(row)] = row
         self.starts = np.unique(np.linspace(0, max(0, n - 1), min(n, 32)).astype(int)) if n else np.zeros(0, int)
 
-    def within(self, q: np.ndarray, ratio: float, least: int) -> list[tuple[float, int]]:
-        """(squared distance, centroid) of all within `ratio` times the least distance, and of `least` at any rate."""
-        n = max(least, BREADTH)
-        while True:
-            found = self.search(q, n)
-            bound = found[0][0] * ratio * ratio
-            if len(found) < n or found[-1][0] > bound or n >= len(self.c):
-                return [x for r, x in enumerate(found) if r < least or x[0] <= bound]
-            n *= 4
-
-    def search(self, q: np.ndarray, n: int, breadth: int = BREADTH) -> list[tuple[float, int]]:
-        """(squared distance, centroid) of about the n nearest."""
-        breadth = max(breadth, n)
-        d = ((self.c[self.starts] - q) ** 2).sum(1)
-        seen = set(self.starts.tolist())
-        todo = list(zip(d.tolist(), self.starts.tolist(), strict=True))
-        heapq.heapify(todo)
-        best = [(-a, b) for a, b in todo]
-        heapq.heapify(best)
-        while len(best) > breadth:
-            heapq.heappop(best)
-        while todo:
-            a, i = heapq.heappop(todo)
-            if len(best) >= breadth and a > -best[0][0]:
+    def _search(self, q: np.ndarray, n: int, breadth: int) -> tuple[np.ndarray, np.ndarray]:
+        if breadth >= len(self.c):  # the beam holds every centroid
+            return _nearest(q, self.c, n)
+        rows, qq = len(q), (q * q).sum(axis=1)
+        place = np.full((rows, breadth), -1, np.int64)
+        dist = np.full((rows, breadth), np.inf)
+        gone = np.zeros((rows, breadth), bool)
+        seen = np.zeros((rows, len(self.c)), bool)
+        s = self.starts[:breadth]
+        first = np.maximum(qq[:, None] - 2 * q @ self.c[s].T + self.norm[s][None], 0)
+        o = np.argsort(first, axis=1, kind="stable")
+        place[:, : len(s)], dist[:, : len(s)] = s[o], np.take_along_axis(first, o, 1)
+        seen[:, s] = True
+        open_ = np.arange(rows)
+        while len(open_):
+            # the nearest that were not gone on from yet
+            used = gone[open_] | (place[open_] < 0)
+            pick = np.argsort(used, axis=1, kind="stable")[:, :STRIDE]
+            free = ~np.take_along_axis(used, pick, 1)
+            some = free.any(axis=1)
+            open_, pick, free = open_[some], pick[some], free[some]
+            if not len(open_):
                 break
-            new = [j for j in self.links[i].tolist() if j not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for v, j in zip(((self.c[new] - q) ** 2).sum(1).tolist(), new, strict=True):
-                if len(best) < breadth or v < -best[0][0]:
-                    heapq.heappush(todo, (v, j))
-                    heapq.heappush(best, (-v, j))
-                    if len(best) > breadth:
-                        heapq.heappop(best)
-        return sorted((-a, b) for a, b in best)[:n]
-
-
-def _best_of(c: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (by falling score, then id; ids ascending) and scores of the k best distinct ids other than `own`."""
-    rough = c @ x
-    rough[ids == own] = -np.inf
-    if len(rough) > k:
-        # the product of the block may differ in the last digits: keep all that may be among the k
-        bar = np.partition(rough, len(rough) - k)[len(rough) - k]
-        o = np.flatnonzero((rough >= bar - 1e-9 * max(1.0, abs(bar))) & (rough > -np.inf))
-    else:
-        o = np.flatnonzero(rough > -np.inf)
-    score = (c[o] * x).sum(axis=1)
-    order = np.lexsort((ids[o], -score))
-    o, score = o[order], score[order]
-    return o[:k], score[:k]
-
-
-def _unit_best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, candidate row) pairs that hold the k best of each query in one piece, ties at the edge by least id."""
+            at = open_[:, None]
+            gone[at, pick] |= free
+            new = np.where(free[:, :, None], self.links[place[at, pick]], -1).reshape(len(open_), -1)
+            new.sort(axis=1)
+            fresh = new >= 0
+            fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
+            fresh &= ~seen[at, np.maximum(new, 0)]
+            r, k = np.nonzero(fresh)
+            j = new[r, k]
+            seen[open_[r], j] = True
+            d = np.full(new.shape, np.inf)
+            d[r, k] = np.maximum(qq[open_[r]] - 2 * np.einsum("ij,ij->i", q[open_[r]], self.c[j]) + self.norm[j], 0)
+            all_d = np.concatenate([dist[open_], d], axis=1)
+            all_p = np.concatenate([place[open_], np.where(fresh, new, -1)], axis=1)
+            all_g = np.concatenate([gone[open_], np.zeros(new.shape, bool)], axis=1)
+            o = np.argsort(all_d, axis=1, kind="stable")[:, :breadth]
+            dist[open_], place[open_], gone[open_] = (np.take_along_axis(x, o, 1) for x in (all_d, all_p, all_g))
+        return place[:, :n], dist[:, :n]
+
+    def search(self, q: np.ndarray, n: int, breadth: int = BREADTH) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids and squared distances of about the n nearest (or all) of each row, nearest first."""
+        n = min(n, len(self.c))
+        parts = [self._search(q[i : i + STEP], n, max(breadth, n)) for i in range(0, len(q), STEP)]
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros((0, n), int), np.zeros((0, n)))
+
+    def within(self, q: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of all within `ratio` times the least distance, and of `least` at any rate."""
+        n, rows, out = max(least, BREADTH), np.arange(len(q)), [(np.zeros(0, int), np.zeros(0, int))]
+        while len(rows):
+            place, d = self.search(q[rows], n)
+            bound = d[:, 0] * ratio * ratio
+            settled = (d[:, -1] > bound) | (n >= len(self.c))
+            wanted = (np.arange(d.shape[1])[None] < least) | (d <= bound[:, None])
+            r, k = np.nonzero(wanted & settled[:, None] & (place >= 0))
+            out.append((rows[r], place[r, k]))
+            rows, n = rows[~settled], 4 * n
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def lists_of(self, v: np.ndarray, replicate: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of the lists that vectors go into."""
+        place, d = self.search(v, 2 * REPLICAS, 32)
+        chosen = np.zeros(place.shape, bool)
+        for r in range(place.shape[1]):
+            fine = (place[:, r] >= 0) & (d[:, r] <= d[:, 0] * replicate * replicate + 1e-12) & (chosen.sum(axis=1) < REPLICAS)
+            # not if a chosen centroid lies nearer to this one than the vector does
+            for s in range(r):
+                apart = ((self.c[place[:, r]] - self.c[place[:, s]]) ** 2).sum(axis=1)
+                fine &= ~chosen[:, s] | (apart > d[:, r])
+            chosen[:, r] = fine
+        at, k = np.nonzero(chosen)
+        return at, place[at, k]
+
+
+def _candidates(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, product) of pairs that hold the k best of each query, ties at the edge by least id."""
     s = q @ c.T
     s[q_ids[:, None] == ids[None, :]] = -np.inf
     if len(c) > k:
         bar = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
+        # the product of a block may differ in the last digits
         slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(bar), bar, 0.0)))
         sure, edge = s > (bar + slack)[:, None], np.abs(s - bar[:, None]) <= slack[:, None]
         # of candidates as good as the k-th, k of least id are enough
         order = np.argsort(ids, kind="stable")
         edge[:, order] &= np.cumsum(edge[:, order], axis=1) <= 2 * k
-        return np.nonzero((sure | edge) & (s > -np.inf))
-    return np.nonzero(s > -np.inf)
-
-
-def _ratio(queries: DataFrame, rows: DataFrame, postings: DataFrame, centroids: np.ndarray, dim: int, k: int, longer, wanted: float) -> float:
-    """The distance ratio within which a measured share of true neighbours have a list."""
-    picked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).toArrow()
-    if not picked.num_rows:
-        return 1.0
-    ids = picked["vec_id"].to_numpy()
-    x = _matrix(picked["v"].combine_chunks(), dim)
-
-    def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            order = np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")
-            own, c = b.column(0).to_numpy(zero_copy_only=False)[order], _matrix(b.column(1), dim)[order]
-            for q, i in enumerate(ids):
-                o, s = _best_of(c, own, x[q], i, k)
-                if q in best:
-                    o, s = np.concatenate([best[q][0], own[o]]), np.concatenate([best[q][1], s])
-                    keep = np.lexsort((o, -s))[:k]
-                    best[q] = (o[keep], s[keep])
-                else:
-                    best[q] = (own[o], s)
-        for q, (o, s) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), q)), pa.array(o), pa.array(s)], ["q", "vec_id", "score"])
-
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = rows.mapInArrow(true, "q long, vec_id long, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    # at most MEASURED * k rows, times the lists of a vector
-    at = postings.select("vec_id", "list").join(F.broadcast(found.select("q", "vec_id")), "vec_id").toPandas()
-    if not len(at):
-        return 1.0
-    z = longer(x, False)
-    d = np.sqrt(np.maximum((z * z).sum(1)[:, None] - 2 * z @ centroids.T + (centroids * centroids).sum(1)[None], 0))
-    need = pd.Series(d[at["q"], at["list"]] / np.maximum(d.min(axis=1)[at["q"]], 1e-12)).groupby([at["q"], at["vec_id"]]).min()
-    return float(np.quantile(need, wanted)) * (1 + 1e-9)
+        a, b = np.nonzero((sure | edge) & (s > -np.inf))
+    else:
+        a, b = np.nonzero(s > -np.inf)
+    return a, b, s[a, b]
+
+
+def _ranked(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query, by (query, falling score, id)."""
+    order = np.lexsort((ids, -score, q))
+    q = q[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return order[rank < k]
+
+
+def _best(q: np.ndarray, q_ids: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the k best distinct ids among candidate pairs, scored pair by pair."""
+    a, c, s = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    once = np.lexsort((ids[c], a))
+    new = np.ones(len(a), bool)
+    new[1:] = (np.diff(a[once]) != 0) | (np.diff(ids[c][once]) != 0)
+    a, c, s = a[once][new], c[once][new], s[once][new]
+    order = np.lexsort((-s, a))
+    a, c, s = a[order], c[order], s[order]
+    start = np.searchsorted(a, a)
+    last = np.minimum(start + k - 1, np.searchsorted(a, a, side="right") - 1)
+    keep = s >= s[last] - 1e-9 * np.maximum(1.0, np.abs(s[last])) if len(s) else np.zeros(0, bool)
+    a, c = a[keep], c[keep]
+    score = np.concatenate([(v[c[i : i + 65_536]] * q[a[i : i + 65_536]]).sum(axis=1) for i in range(0, len(a), 65_536)]) if len(a) else np.zeros(0)
+    top = _ranked(a, ids[c], score, k)
+    return a[top], ids[c[top]], score[top]
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -222,125 +258,163 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, column: str = "embedding", sample: int = SAMPLE, wanted: float = WANTED, replicate: float = REPLICATE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k found for each vector whose vec_id is divisible by `every`."""
+@dataclass
+class Index:
+    """rows: vec_id, v; postings: list, vec_id, v; longest: the largest squared length of a vector."""
+
+    rows: DataFrame
+    postings: DataFrame
+    centroids: Broadcast
+    n: int
+    dim: int
+    longest: float
+
+    def ratio(self, queries: DataFrame, k: int, wanted: float = WANTED) -> float:
+        """The distance ratio within which a measured share of true neighbours have a list."""
+        picked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).toArrow()
+        if not picked.num_rows:
+            return 1.0
+        dim = self.dim
+        own = picked["vec_id"].to_numpy()
+        x = _matrix(picked["v"].combine_chunks(), dim)
+
+        def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+            for b in batches:
+                ids, c = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), dim)
+                found = _best(x, own, [_candidates(x, own, c, ids, k)], c, ids, k)
+                both = [np.concatenate(p) for p in zip(best, found, strict=True)]
+                top = _ranked(*both, k)
+                best = tuple(p[top] for p in both)
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in best], ["q", "vec_id", "score"])
+
+        w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        found = self.rows.mapInArrow(true, "q long, vec_id long, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+        # at most MEASURED * k rows, times the lists of a vector
+        at = self.postings.select("vec_id", "list").join(F.broadcast(found.select("q", "vec_id")), "vec_id").toPandas()
+        if not len(at):
+            return 1.0
+        z, c = np.hstack([x, np.zeros((len(x), 1))]), self.centroids.value
+        d = np.sqrt(np.maximum((z * z).sum(1)[:, None] - 2 * z @ c.T + (c * c).sum(1)[None], 0))
+        need = pd.Series(d[at["q"], at["list"]] / np.maximum(d.min(axis=1)[at["q"]], 1e-12)).groupby([at["q"], at["vec_id"]]).min()
+        return float(np.quantile(need, wanted)) * (1 + 1e-9)
+
+    def asked(self, queries: DataFrame, ratio: float) -> DataFrame:
+        """list, vec_id: the lists that each query (vec_id, v) visits."""
+        centroids, dim = self.centroids, self.dim
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = _graph(centroids)
+            for b in batches:
+                v = _matrix(b.column(1), dim)
+                at, to = g.within(np.hstack([v, np.zeros((len(v), 1))]), ratio, LEAST_PROBES)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(pa.array(at, pa.int64()))], ["list", "vec_id"])
+
+        return queries.mapInArrow(run, "list long, vec_id long")
+
+    def search(self, asked: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, vec_id, score: the k best in the lists that each query asks."""
+        spark = self.rows.sparkSession
+        # at most MOST_LISTS rows: where each list begins when neighbouring ones lie side by side
+        sizes = {r["list"]: r["count"] for r in self.postings.groupBy("list").count().collect()}
+        before, at = [], 0
+        for j in neighbouring(self.centroids.value).tolist():
+            if j in sizes:
+                before.append((j, -(-sizes[j] // PIECE), at))
+                at += sizes[j]
+        lists = F.broadcast(spark.createDataFrame(before, "list long, pieces int, at long"))
+        shard = F.floor((F.col("at") + F.col("piece") * PIECE) / SHARD).cast("int").alias("shard")
+        unit = F.struct("list", "piece")
+        p = self.postings.join(lists, "list").withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("pieces")).cast("int"))
+        p = p.select(shard, F.array(F.xxhash64(unit)).alias("units"), "vec_id", "v")
+        q = asked.join(lists, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        q = q.select(shard, "vec_id", F.xxhash64(unit).alias("unit")).groupBy("shard", "vec_id").agg(F.collect_set("unit").alias("units"))  # a shard's pieces at most
+        q = cut(q)
+        # one row for each shard; joined by a shuffle where there are many
+        blocks = q.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        q = q.join(self.rows, "vec_id").join(blocks, "shard").select("shard", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "units", "vec_id", "v", F.lit(True).alias("q"))
+        p = p.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "units", "vec_id", "v", F.lit(False).alias("q"))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            is_q = pdf["q"].to_numpy(bool)
+            ids = pdf["vec_id"].to_numpy(np.int64)
+            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)  # a shard and a block at most
+            units = pdf["units"].to_numpy()
+            times = np.array([len(u) for u in units])
+            row, unit = np.repeat(np.arange(len(ids)), times), np.concatenate(units)
+            order = np.argsort(unit, kind="stable")
+            parts = []
+            for group in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+                r = row[group]
+                qs, c = r[is_q[r]], r[~is_q[r]]
+                if len(qs) and len(c):
+                    a, b, s = _candidates(v[qs], ids[qs], v[c], ids[c], k)
+                    parts.append((qs[a], c[b], s))
+            a, found, score = _best(v, ids, parts, v, ids, k)
+            return pd.DataFrame({"query_id": ids[a], "vec_id": found, "score": score})
+
+        best = p.unionByName(q).groupBy("shard", "block").applyInPandas(run, "query_id long, vec_id long, score double")
+        best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.select("query_id", F.row_number().over(w).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+_GRAPHS: dict[int, Graph] = {}
+
+
+def _graph(centroids: Broadcast) -> Graph:
+    """One for each worker and index."""
+    key = id(centroids.value)
+    if key not in _GRAPHS:
+        _GRAPHS.clear()
+        _GRAPHS[key] = Graph(centroids.value)
+    return _GRAPHS[key]
+
+
+def index(vectors: DataFrame, column: str = "embedding", per_list: int = PER_LIST, replicate: float = REPLICATE) -> Index | None:
+    """The index of all vectors that take part; None without any."""
     spark = vectors.sparkSession
     ship(spark)
-    out = "query_id long, rank int, vec_id long, score double"
     rows = cut(usable(vectors, column))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m"), F.max(F.size("v")).alias("d")).first()
-    n, most, dim = size["n"], size["m"], size["d"]
+    n, longest, dim = size["n"], size["m"], size["d"]
     if not n:
-        return spark.createDataFrame([], out)
+        return None
+    lists = int(min(MOST_LISTS, max(1, n // per_list)))
     # a bounded sample by the order of a hash
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    lists = int(min(MOST_LISTS, max(1, n // PER_LIST)))
-
-    def longer(x: np.ndarray, own: bool) -> np.ndarray:
-        extra = np.sqrt(np.maximum(most - (x * x).sum(1), 0)) if own else np.zeros(len(x))
-        return np.hstack([x, extra[:, None]])
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(LEAST_SAMPLE, SAMPLE * lists)).select("v").toArrow()
 
-    x = _matrix(picked["v"].combine_chunks(), dim)
-    del picked
-    centroids = spark.sparkContext.broadcast(balanced_centroids(longer(x, True), min(lists, max(1, len(x) // 8))))
-    del x
-    graphs: dict[int, Graph] = {}
+    def longer(x: np.ndarray) -> np.ndarray:
+        return np.hstack([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))[:, None]])
 
-    def graph() -> Graph:
-        if 0 not in graphs:
-            graphs[0] = Graph(centroids.value)
-        return graphs[0]
+    x = longer(_matrix(picked["v"].combine_chunks(), dim))
+    centroids = spark.sparkContext.broadcast(balanced_centroids(x, min(lists, max(1, len(x) // SAMPLE))))
+    del x, picked
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = graph()
+        g = _graph(centroids)
         for b in batches:
-            v = longer(_matrix(b.column(1), dim), True)
-            at, to = [], []
-            for i, q in enumerate(v):
-                chosen: list[int] = []
-                first = None
-                for d, j in g.search(q, 2 * REPLICAS, 32):
-                    first = d if first is None else first
-                    if len(chosen) >= REPLICAS or d > first * replicate * replicate + 1e-12:
-                        break
-                    # not if a chosen centroid lies nearer to this one than the vector does
-                    if all(((g.c[j] - g.c[c]) ** 2).sum() > d for c in chosen):
-                        chosen.append(j)
-                at += [i] * len(chosen)
-                to += chosen
+            at, to = g.lists_of(longer(_matrix(b.column(1), dim)), replicate)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(take), b.column(1).take(take)], ["list", "vec_id", "v"])
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = graph()
-        for b in batches:
-            at, to = [], []
-            for i, q in enumerate(longer(_matrix(b.column(1), dim), False)):
-                near = [j for _, j in g.within(q, prune, LEAST_PROBES)]
-                at += [i] * len(near)
-                to += near
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(pa.array(at, pa.int64()))], ["list", "vec_id"])
-
-    schema = f"list long, vec_id long, v {dict(rows.dtypes)['v']}"
-    postings = cut(rows.mapInArrow(posted, schema))
-    prune = _ratio(rows.where(F.col("vec_id") % every == 0), rows, postings, centroids.value, dim, k, longer, wanted)
-    queries = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(asked, "list long, vec_id long"))
-    shards = max(1, -(-postings.count() // SHARD))
-
-    def best(queries: DataFrame) -> DataFrame:
-        """query_id, vec_id, score: the k best that a query finds in each shard."""
-        sizes = F.broadcast(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")))  # at most MOST_LISTS rows
-        unit = F.xxhash64("list", "piece")
-        shard = F.pmod(unit, F.lit(shards)).cast("int").alias("shard")
-        p = postings.join(sizes, "list").withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("pieces")).cast("int"))
-        p = p.select(shard, F.array(unit).alias("units"), "vec_id", "v")
-        q = queries.join(sizes, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        q = q.select(shard, "vec_id", unit.alias("unit")).groupBy("shard", "vec_id").agg(F.collect_set("unit").alias("units"))
-        blocks = F.broadcast(q.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))  # a row for each shard
-        q = q.join(rows, "vec_id").join(blocks, "shard").select("shard", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "units", "vec_id", "v", F.lit(True).alias("q"))
-        p = p.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "units", "vec_id", "v", F.lit(False).alias("q"))
+    postings = cut(rows.mapInArrow(posted, f"list long, vec_id long, v {dict(rows.dtypes)['v']}"))
+    return Index(rows, postings, centroids, n, dim, longest)
 
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            is_q = pdf["q"].to_numpy(bool)
-            ids, units = pdf["vec_id"].to_numpy(np.int64), pdf["units"].to_numpy()
-            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)  # at most a shard and a block
-            members: dict[int, list[int]] = {}
-            askers: dict[int, list[int]] = {}
-            for i in np.flatnonzero(~is_q):
-                members.setdefault(int(units[i][0]), []).append(i)
-            for i in np.flatnonzero(is_q):
-                for u in units[i]:
-                    askers.setdefault(int(u), []).append(i)
-            got: dict[int, list[np.ndarray]] = {}
-            for u, at in askers.items():
-                if u not in members:
-                    continue
-                c, qs = np.array(members[u]), np.array(at)
-                a, b = _unit_best(v[qs], ids[qs], v[c], ids[c], k)
-                for i in np.unique(a):
-                    got.setdefault(int(qs[i]), []).append(c[b[a == i]])
-            out = []
-            for i, parts in got.items():
-                c = np.concatenate(parts)
-                c = c[np.unique(ids[c], return_index=True)[1]]
-                o, score = _best_of(v[c], ids[c], v[i], ids[i], k)
-                out.append((np.full(len(o), ids[i]), ids[c][o], score))
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
-
-        return p.unionByName(q).groupBy("shard", "block").applyInPandas(search, "query_id long, vec_id long, score double")
-
-    def top(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return found.select("query_id", F.row_number().over(w).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
-    found = cut(top(best(queries)))
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, column: str = "embedding", wanted: float = WANTED, replicate: float = REPLICATE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k found for each vector whose vec_id is divisible by `every`."""
+    built = index(vectors, column, replicate=replicate)
+    if built is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = built.rows.where(F.col("vec_id") % every == 0)
+    asked = cut(built.asked(queries, built.ratio(queries, k, wanted)))
+    found = cut(built.search(asked, k))
     # queries that came out short look into every list
-    short = queries.select("vec_id").distinct().join(found.where(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    short = cut(short)
-    if n > 1 and short.limit(1).count():
-        every_list = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(centroids.value) - 1).cast("long")))
-        again = queries.join(short, "vec_id", "left_semi").select("vec_id").distinct().select(every_list.alias("list"), "vec_id")
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(top(best(again)))
-    return found.select("query_id", "rank", "vec_id", "score")
+    full = found.where(F.col("rank") == min(k, built.n - 1)).select(F.col("query_id").alias("vec_id"))
+    short = cut(asked.select("vec_id").distinct().join(full, "vec_id", "left_anti"))
+    if built.n > 1 and not short.isEmpty():
+        every_list = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(built.centroids.value) - 1).cast("long")))
+        again = built.search(short.select(every_list.alias("list"), "vec_id"), k)
+        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    return found
