@@ -8,6 +8,10 @@ a bucket that are still in different components are settled in blocks: those out
 all others, so no link between different texts is lost and a group of near copies costs its size times its outsiders.
 Components come from label propagation with pointer jumping; nothing of it passes through the driver.
 
+Hot keys: a bucket's size and least id come from a partial aggregate and are joined back, which Spark splits where a bucket
+is large; a node with many partners meets them in blocks, each of which gets its set once. Blocks are bounded by the shingles
+that they hold, and a task takes blocks of as many shingles in all. No step is chosen by a count of rows.
+
 Defined results: one row for each input row. A null or blank text has no shingles and is linked with nothing. Fewer words
 than a shingle make one shingle. Rows that repeat a doc_id are one document. A row with null doc_id is linked
 with nothing: component_id null, kept. Extra columns are ignored.
@@ -23,9 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from grainfield.llm.common import arrow_rows, broadcast_if_small, cut, ship, trim
+from grainfield.llm.common import arrow_rows, cut, ship, trim
 from grainfield.session import without_statistics
 
 SHINGLE = 5
@@ -35,6 +38,8 @@ PERCENT = 75
 BANDS, ROWS = 36, 4
 #: Documents of a block when a bucket is settled: outsiders, and those that they are compared with.
 OUTSIDERS, OTHERS = 128, 512
+#: Shingles (8 bytes each) of a block, over which a longer set goes alone.
+BUDGET = 500_000
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -77,23 +82,35 @@ def signature(s: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
+def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit hash for each band of a signature, the band's number being part of it."""
+    with np.errstate(over="ignore"):
+        h = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for part in sig.reshape(bands, rows).astype(np.uint64).T:
+            h = (h ^ part) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xC4CEB9FE1A85EC53)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f0, f1 (hash of the set), sig."""
+    """doc_id, n, f0, f1 (hash of the set), keys (of its bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f, sig = [], [], []
+            n, f, keys = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py())
                 n.append(len(s))
                 f.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                sig.append(signature(s).tobytes() if len(s) else None)
+                keys.append(band_keys(signature(s)) if len(s) else None)
             f = np.array(f, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sig, pa.binary())], ["doc_id", "n", "f0", "f1", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "f0", "f1", "keys"])
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n long, f0 long, f1 long, sig binary")
+    return rows.mapInArrow(run, "doc_id long, n long, f0 long, f1 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -105,18 +122,48 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(broadcast_if_small(ids), "id", "left_semi").mapInArrow(run, "id long, s binary")
-
-
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
-
+    return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, s binary")
+
+
+def _common(a: np.ndarray, values: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many elements of the sorted set a each of the sets has that lie side by side in values."""
+    at = np.minimum(np.searchsorted(a, values), len(a) - 1)
+    hits = np.concatenate([[0], np.cumsum(a[at] == values)])
+    return hits[ends] - hits[ends - size]
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, b, n of b) that are links, on full sets."""
+    sizes = pairs.groupBy("a").agg(F.sum("n").alias("n"))
+    tasks = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // BUDGET))
+    blocks = sizes.select("a", F.ceil(F.col("n") / BUDGET).cast("int").alias("blocks"))
+    # a leader's blocks are dealt over the tasks by themselves
+    task = F.pmod(F.xxhash64("a", "block"), F.lit(tasks)).cast("int").alias("task")
+    partners = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    leaders = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = partners.select(task, "a", F.col("b").alias("id"), F.lit(False).alias("leads")).unionByName(leaders.select(task, "a", F.col("a").alias("id"), F.lit(True).alias("leads")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a", kind="stable")
+        leader, ids, leads = pdf["a"].to_numpy(), pdf["id"].to_numpy(), pdf["leads"].to_numpy(bool)
+        arrays = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        out = []
+        for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(leader)) + 1):
+            first, r = part[leads[part]], part[~leads[part]]
+            if not len(r):
+                continue
+            size = np.array([len(arrays[i]) for i in r])
+            values, ends = np.concatenate([arrays[i] for i in r]), np.cumsum(size)
+            for a in (arrays[i] for i in first):  # several texts of one id are one document
+                common = _common(a, values, ends, size) if len(a) else np.zeros(len(r), int)
+                out.append(r[100 * common >= PERCENT * (size + len(a) - common)] if len(a) else r[:0])
+        at = np.concatenate(out) if out else np.zeros(0, int)
+        found = pd.DataFrame({"a": leader[at], "b": ids[at]})
+        del arrays
+        trim()
+        return found
 
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
-    trim()
-    return out
+    return rows.join(sets, "id").groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rows: int | None = None, most_rounds: int = 50) -> DataFrame:
@@ -148,10 +195,12 @@ def _settle(open_: DataFrame, sets: DataFrame, count: int) -> DataFrame:
     per = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     # the main component of each bucket names the group in which its outsiders are settled
     main = per.groupBy("bucket").agg(F.max("k").alias("top")).join(per, "bucket").where(F.col("k") == F.col("top")).groupBy("bucket").agg(F.min("label").alias("main"))
-    rows = open_.join(main, "bucket").select("main", "id", "label").distinct()
+    rows = open_.join(main, "bucket").select("main", "id", "n", "label").distinct()
     rows = cut(rows.withColumn("outside", F.col("label") != F.col("main")), count)
-    sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("outside").cast("long")).alias("out"))
-    sizes = sizes.select("main", F.ceil(F.col("out") / OUTSIDERS).cast("int").alias("outs"), F.ceil(F.col("all") / OTHERS).cast("int").alias("alls"))
+    out_n = F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0))
+    sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("n"), F.sum(F.col("outside").cast("long")).alias("out"), out_n.alias("out_n"))
+    parts = lambda k, most, n: F.greatest(F.ceil(F.col(k) / most), F.ceil(F.col(n) / BUDGET)).cast("int")
+    sizes = sizes.select("main", F.when(F.col("out") > 0, parts("out", OUTSIDERS, "out_n")).otherwise(0).alias("outs"), parts("all", OTHERS, "n").alias("alls"))
     placed = rows.join(sizes, "main").where(F.col("outs") > 0).withColumns({"o": F.pmod(F.xxhash64("id", F.lit(1)), F.col("outs")).cast("int"), "p": F.pmod(F.xxhash64("id", F.lit(2)), F.col("alls")).cast("int")})
     lefts = placed.where("outside").select("main", "id", "label", F.col("o"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("p"), F.lit(True).alias("left"))
     rights = placed.select("main", "id", "label", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("o"), "p", F.lit(False).alias("left"))
@@ -171,16 +220,14 @@ def _settle(open_: DataFrame, sets: DataFrame, count: int) -> DataFrame:
                 fits = (label[r] != label[i]) & (100 * np.minimum(size[r], size[i]) >= PERCENT * np.maximum(size[r], size[i]))
                 if not fits.any() or not len(a):
                     continue
-                at = np.minimum(np.searchsorted(a, values), len(a) - 1)
-                hits = np.concatenate([[0], np.cumsum(a[at] == values)])
-                common = hits[ends] - hits[ends - size[r]]
+                common = _common(a, values, ends, size[r])
                 ok = fits & (100 * common >= PERCENT * (size[r] + size[i] - common))
                 out += [(int(ids[i]), int(ids[j])) for j in r[ok]]
         del arrays
         trim()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return blocks.groupBy("main", "o", "p").applyInPandas(block, "a long, b long")
+    return blocks.groupBy("main", "o", "p").applyInPandas(block, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -197,28 +244,23 @@ def _near_dedup(docs: DataFrame) -> DataFrame:
     nodes = cut(filled.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), signed.count())
     n_nodes = nodes.count()
     named = nodes.select(F.col("rep").alias("doc_id"), "f0", "f1")
-    reps = filled.join(broadcast_if_small(named, n_nodes), ["doc_id", "f0", "f1"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sig")
-    width = ROWS * 4
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
-    banded = reps.select("id", "n", F.explode(keys).alias("bucket"))
-    same = Window.partitionBy("bucket")
-    members = banded.withColumns({"lead": F.min("id").over(same), "k": F.count(F.lit(1)).over(same)}).where(F.col("k") >= 2)
-    members = cut(members.select("bucket", "id", "lead"), n_nodes)
+    reps = filled.join(named, ["doc_id", "f0", "f1"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys")
+    reps = cut(reps)
+    banded = reps.select("id", "n", F.explode("keys").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= 2).select("bucket", "lead")
+    members = cut(banded.join(shared, "bucket"))
     sets = cut(_sets(docs, cut(members.select("id").distinct(), n_nodes)))
-    pairs = members.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    fits = F.least(F.length("sa"), F.length("sb")) * 100 >= F.greatest(F.length("sa"), F.length("sb")) * PERCENT
-    links = cut(pairs.join(left, "a").join(right, "b").where(fits).where(F.pandas_udf(_similar, "boolean")("sa", "sb")).select("a", "b").distinct(), n_nodes)
+    pairs = cut(members.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"), "n").distinct(), n_nodes)
+    links = cut(_compared(pairs, sets), n_nodes)
     first = components(links, n_nodes)
-    labelled = members.join(first, F.col("id") == F.col("node"), "left").select("bucket", "id", "lead", F.coalesce("label", "id").alias("label"))
-    labelled = cut(labelled, n_nodes)
+    labelled = members.join(first, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "lead", F.coalesce("label", "id").alias("label"))
+    labelled = cut(labelled)
     # all but the leader, whose pairs are known, are in one component: nothing is open
     state = labelled.where(F.col("id") != F.col("lead")).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
-    open_ = labelled.where(F.col("id") != F.col("lead")).join(state.select("bucket"), "bucket", "left_semi").select("bucket", "id", "label")
+    open_ = labelled.where(F.col("id") != F.col("lead")).join(state.select("bucket"), "bucket", "left_semi").select("bucket", "id", "n", "label")
     more = cut(_settle(cut(open_, n_nodes), sets, n_nodes), n_nodes)
     final = components(links.unionByName(more), n_nodes)
     named = nodes.join(final, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.coalesce("label", "rep").alias("component"))
-    rows = signed.select("doc_id", "n", "f0", "f1").join(broadcast_if_small(named, n_nodes), ["f0", "f1"], "left")
+    rows = signed.select("doc_id", "n", "f0", "f1").join(named, ["f0", "f1"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).cast("long")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -116,3 +116,35 @@ def test_graph_search_in_step():
     assert np.allclose(d, ((c[place] - q[:, None]) ** 2).sum(axis=2)) and (np.diff(d, axis=1) >= 0).all()
     row, at = ann.Graph(c).within(q, 1.3, 8)
     assert np.bincount(row, minlength=700).min() >= 8 and sorted(ann.neighbouring(c)) == list(range(900))
+
+
+def test_near_copies_of_one_hot_group(spark, monkeypatch):
+    """A third of all documents are near copies of one text: blocks of leader and outsiders, against brute force."""
+    from grainfield.llm import neardup
+
+    monkeypatch.setattr(neardup, "BUDGET", 600)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        w = list(base if i % 3 == 0 else [f"v{i}_{j % 30}" for j in range(60)])
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(0, 60))] = f"x{int(rng.integers(0, 1000))}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    up = list(range(150))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(150):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_dedup(df).collect()}
+    assert got == {i: root(i) for i in range(150)} and sum(v == 0 for v in got.values()) > 30
