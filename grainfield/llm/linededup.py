@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread.
 
-A line (without the white space at its ends) is boilerplate if it stands in documents of at least
+A line (without the white space at its ends, known by 128 bits of hash) is boilerplate if it stands in documents of at least
 `min_sites` distinct sources. HyperLogLog sketches of the sources, one for each line hash and merged by
 aggregation, decide lines whose estimate is far from that number; lines near it get exact distinct counts.
 A boilerplate line stays in the document of the smallest doc_id that has it and goes from all others.
@@ -30,9 +30,9 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def _hash(line: Column) -> Column:
-    """Hash of a line without the white space at its ends; null if nothing is left."""
+    """128 bits of hash of a line without the white space at its ends; null if nothing is left."""
     body = F.btrim(line, F.lit(SPACES))
-    return F.when(body != "", F.xxhash64(body))
+    return F.when(body != "", F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit("second"), body).alias("b")))
 
 
 def _lines(text: Column) -> Column:
@@ -40,29 +40,32 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(h, first_doc, sites) of the boilerplate lines; and their places (doc_id, t, pos, h), t the hash of the text."""
+    """(h, h2, first_doc, sites) of the boilerplate lines; and their places (doc_id, t, pos, h, h2), t the hash of the text.
+
+    Two halves of 128 bits name a line: among 10^12 different lines two that agree are not to be expected.
+    """
     site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     places = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", site.alias("site"), F.xxhash64("text").alias("t"), F.posexplode(F.transform(_lines(F.col("text")), _hash)).alias("pos", "h")
+        "doc_id", site.alias("site"), F.xxhash64("text").alias("t"), F.posexplode(F.transform(_lines(F.col("text")), _hash)).alias("pos", "line")
     )
-    places = places.where(F.col("h").isNotNull())
-    spread = places.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_doc"))
-    sized = spread.select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("estimate"))
+    places = places.where(F.col("line").isNotNull()).select("doc_id", "site", "t", "pos", F.col("line.a").alias("h"), F.col("line.b").alias("h2"))
+    line = ["h", "h2"]
+    spread = places.groupBy(*line).agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_doc"))
+    sized = spread.select(*line, "first_doc", F.hll_sketch_estimate("sketch").alias("estimate"))
     # lines on several sites are fewer than documents: that many files hold them
     found = cut(sized.where(F.col("estimate") >= min_sites * (1 - band)), docs.count())
     n = found.count()
-    hits = cut(places.join(broadcast_if_small(found.select("h", "estimate"), n, broadcast_rows), "h"))
+    hits = cut(places.join(broadcast_if_small(found.select(*line, "estimate"), n, broadcast_rows), line))
     near = F.col("estimate") <= min_sites * (1 + band)
-    exact = hits.where(near).select("h", "site").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("exact"))
-    lines = found.join(exact, "h", "left").select("h", "first_doc", F.coalesce("exact", "estimate").alias("sites")).where(F.col("sites") >= min_sites)
-    return lines, hits.select("doc_id", "t", "pos", "h")
+    exact = hits.where(near).select(*line, "site").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("exact"))
+    lines = found.join(exact, line, "left").select(*line, "first_doc", F.coalesce("exact", "estimate").alias("sites")).where(F.col("sites") >= min_sites)
+    return cut(lines, n), hits.select("doc_id", "t", "pos", *line)
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents without boilerplate lines, and n_removed."""
     lines, hits = boilerplate(docs, min_sites, lg_k, band, broadcast_rows)
-    lines = cut(lines, 0)
-    gone = hits.join(broadcast_if_small(lines.select("h", "first_doc"), None, broadcast_rows), "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    gone = hits.join(broadcast_if_small(lines.select("h", "h2", "first_doc"), None, broadcast_rows), ["h", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_gone"))
     kept = [c for c in docs.columns if c != "n_removed"]
     # the input's columns travel as one, so that none of their names meets one of ours
