@@ -5,11 +5,12 @@ log posterior = text likelihood (hashed byte trigrams, tempered) + declared mark
 markup and suffixes say, and how hosts are made up, are counts over all documents (by their language from text alone),
 gathered by grouped aggregation; host priors are smoothed towards their suffix, and suffixes towards the corpus.
 
-Columns: text; the fitted label (lang); a host (source, or the host of a url column). Two scans, no shuffle of text.
+Columns: text; the fitted label (lang); a host (source, or the host of a url column). Two scans, no shuffle of text. Every
+host, suffix and label counts; a column of more than LANGUAGES labels is refused.
 
 Defined results: one row for each input row. Null texts and texts without a letter have no text evidence;
 a document without evidence, or whose best posterior is below `least`, is `und` and rejected. A null host has the
-corpus as its prior. An empty table, or one without labels, gives `und` for all. Ties go to the first code.
+corpus as its prior, a host without a document of known text its suffix. An empty table, or one without labels, gives `und` for all. Ties go to the first code.
 Columns of the input are kept; lang_id, posterior and accepted replace ones of those names.
 """
 
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from grainfield.llm.common import BROADCAST_ROWS, broadcast_if_small, cut, ship, trim
 
 BUCKETS = 1 << 15
-#: Labelled rows for each language, languages, the pull of texts (share of a trigram's evidence that counts, and
-#: trigrams that count at most), pseudo-counts of the priors, least posterior.
+#: Labelled rows for each language, labels beyond which a column is refused as no language code, the pull of texts (share of a
+#: trigram's evidence that counts, and trigrams that count at most), pseudo-counts of the priors, least posterior.
 SAMPLE = 3_000
-LANGUAGES = 128
+LANGUAGES = 1_000
 TEMPER, MOST_TRIGRAMS = 0.2, 2_000
 HOST_WEIGHT, SUFFIX_WEIGHT, CHANNEL_WEIGHT = 20.0, 50.0, 5.0
 LEAST = 0.5
@@ -45,16 +46,18 @@ def _codes(text: str | None) -> np.ndarray:
     return (h >> np.uint32(17)).astype(np.int64)
 
 
-def fit_text(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages and log p(trigram bucket | language), from at most `sample` rows of each of the most frequent languages."""
-    names = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(languages)
+def fit_text(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Languages and log p(trigram bucket | language), from at most `sample` rows of each."""
+    names = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(label).distinct().limit(LANGUAGES + 1)
     names = sorted(r[0] for r in names.collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"{label} has more than {LANGUAGES} labels: no language code")
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
     ranked = docs.where(F.col(label).isin(names) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"))
     order = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = cut(ranked.distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("doc_id", "_label"))
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, None, sample * languages), "doc_id").select("_label", "text")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id").select("_label", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -98,6 +101,11 @@ def _likelihood(model: np.ndarray):
     return text_likelihood
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address, without user, port and case; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+
+
 def _suffix(host: Column) -> Column:
     return F.when(F.instr(host, ".") > 0, F.lower(F.element_at(F.split(host, r"\."), -1)))
 
@@ -107,10 +115,11 @@ def _best(scores: Column) -> Column:
     return F.when(F.array_max(scores) > F.array_min(scores), F.array_position(scores, F.array_max(scores)))
 
 
-def language_id(docs: DataFrame, host: Column | None = None, markup: Column | None = None, label: str = "lang", least: float = LEAST, targets: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """docs with lang_id, posterior, accepted. host: defaults to the column source; markup: to the text."""
+def language_id(docs: DataFrame, host: Column | None = None, markup: Column | None = None, label: str = "lang", least: float = LEAST, targets: list[str] | None = None, sample: int = SAMPLE, fitted: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+    """docs with lang_id, posterior, accepted. host: defaults to the column source; markup: to the text. fitted: what fit_text
+    has found on other rows; then docs need no label."""
     ship(docs.sparkSession)
-    names, model = fit_text(docs, label, sample)
+    names, model = fitted or fit_text(docs, label, sample)
     named = [c for c in docs.columns if c not in ("lang_id", "posterior", "accepted")]
     # the input's columns travel as one, so that none of their names meets one of ours
     whole = F.struct(*[F.col(f"`{c}`") for c in named]).alias("_row")
@@ -130,29 +139,31 @@ def language_id(docs: DataFrame, host: Column | None = None, markup: Column | No
     corpus = counted.agg(*[F.coalesce(p, F.lit(0.0)).alias(f"c{i}") for i, p in enumerate(per)]).first()
     total = sum(corpus)
     share = [(corpus[i] + 1.0) / (total + n) for i in range(n)]
-    suffixes = {r["_suffix"]: r["c"] for r in counted.where(F.col("_suffix").isNotNull()).groupBy("_suffix").agg(F.array(*per).alias("c"), F.sum("n").alias("n")).orderBy(F.desc("n"), "_suffix").limit(5_000).collect()}
     said = {r["_said"]: r["c"] for r in counted.where(F.col("_said").isNotNull()).groupBy("_said").agg(F.array(*per).alias("c")).collect()}
 
-    def smooth(counts: list[float], towards: list[float], weight: float) -> list[float]:
-        s = sum(counts)
-        return [(c + weight * t) / (s + weight) for c, t in zip(counts, towards, strict=True)]
-
     literal = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    suffix_share = {k: smooth(c, share, SUFFIX_WEIGHT) for k, c in suffixes.items()}
-    # log p(declaration | language), a share of declarations being simply wrong
-    channel = {d: [np.log((said.get(d, [0.0] * n)[i] + CHANNEL_WEIGHT * (0.9 if i == d - 1 else 0.1 / max(1, n - 1))) / (sum(said.get(k, [0.0] * n)[i] for k in said) + CHANNEL_WEIGHT)) for i in range(n)] for d in range(1, n + 1)}
-    spark = docs.sparkSession
-    up = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in suffix_share.items()], "_k string, _up array<double>")
+
+    def smoothed(table: DataFrame, counts: str, towards: Column, weight: float, name: str) -> DataFrame:
+        """The shares of counts, drawn to `towards` by `weight` pseudo-counts."""
+        table = table.withColumns({"_m": F.aggregate(counts, F.lit(0.0), lambda a, x: a + x), "_t": towards})
+        return table.withColumn(name, F.zip_with(counts, "_t", lambda x, t: (x + t * weight) / (F.col("_m") + weight))).drop("_m", "_t", counts)
+
+    logs = lambda c: F.transform(c, lambda x: F.log(x))
+    suffixes = counted.where(F.col("_suffix").isNotNull()).groupBy(F.col("_suffix").alias("_k")).agg(F.array(*per).alias("_s"))
+    suffixes = cut(smoothed(suffixes, "_s", literal(share), SUFFIX_WEIGHT, "_up"))
     hosts = counted.where(F.col("_host").isNotNull()).groupBy("_host", "_suffix").agg(F.array(*per).alias("_c"))
-    hosts = hosts.join(F.broadcast(up), F.col("_suffix") == F.col("_k"), "left").withColumn("_up", F.coalesce("_up", literal(share)))
-    mass = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)
-    prior = F.zip_with("_c", "_up", lambda c, u: F.log((c + u * HOST_WEIGHT) / (mass + HOST_WEIGHT)))
-    hosts = cut(hosts.select(F.col("_host").alias("_h"), prior.alias("_prior")))
-    rows = seen.join(broadcast_if_small(hosts, None, BROADCAST_ROWS), F.col("_host") == F.col("_h"), "left")
-    markup_part = F.lit(None).cast("array<double>")
-    for d, v in channel.items():
-        markup_part = F.when(F.col("_said") == d, literal(v)).otherwise(markup_part)
-    parts = F.zip_with(F.zip_with(F.col("_text"), F.coalesce("_prior", literal(np.log(share))), lambda a, b: a + b), F.coalesce(markup_part, literal([0.0] * n)), lambda a, b: a + b)
+    hosts = hosts.join(broadcast_if_small(suffixes), F.col("_suffix") == F.col("_k"), "left")
+    hosts = smoothed(hosts, "_c", F.coalesce("_up", literal(share)), HOST_WEIGHT, "_p")
+    hosts = cut(hosts.select(F.col("_host").alias("_h"), logs("_p").alias("_prior")))
+    # log p(declaration | language), a share of declarations being simply wrong; a row for each language
+    all_said = [sum(c[i] for c in said.values()) for i in range(n)]
+    right = lambda d, i: 0.9 if i == d - 1 else 0.1 / max(1, n - 1)
+    channel = [(d, [float(np.log((said.get(d, [0.0] * n)[i] + CHANNEL_WEIGHT * right(d, i)) / (all_said[i] + CHANNEL_WEIGHT))) for i in range(n)]) for d in range(1, n + 1)]
+    channel = F.broadcast(docs.sparkSession.createDataFrame(channel, "_d int, _channel array<double>"))
+    rows = seen.join(broadcast_if_small(hosts, None, BROADCAST_ROWS), F.col("_host") == F.col("_h"), "left").join(channel, F.col("_said") == F.col("_d"), "left")
+    rows = rows.join(broadcast_if_small(suffixes.withColumnRenamed("_k", "_x")), F.col("_suffix") == F.col("_x"), "left")
+    prior = F.coalesce("_prior", logs("_up"), literal(np.log(share)))
+    parts = F.zip_with(F.zip_with(F.col("_text"), prior, lambda a, b: a + b), F.coalesce("_channel", literal([0.0] * n)), lambda a, b: a + b)
     evidence = _best(F.col("_text")).isNotNull() | F.col("_said").isNotNull()
     rows = rows.withColumns({"_all": parts, "_known": evidence})
     top = F.array_max("_all")

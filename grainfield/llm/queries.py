@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfield.llm import ann, linededup, tokenbin
+from grainfield.llm import ann, langid, linededup, tokenbin
 from grainfield.llm.common import cut, new_folder, table
 from grainfield.llm.langid import language_id
 from grainfield.llm.linededup import line_dedup
@@ -35,6 +35,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "lang_id", F.round("posterior", 6).alias("posterior"), "accepted")
 
 
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op4 over pages, where all its evidence is at hand: hosts, address suffixes, declared markup languages."""
+    pages = table(spark, sf_dir, "pages")
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>", " ")
+    rows = pages.select("page_id", "url", "html", bare.alias("text"))
+    found = language_id(rows, langid.host_of(F.col("url")), F.col("html"), fitted=langid.fit_text(table(spark, sf_dir, "documents")))
+    return found.select("page_id", "lang_id", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secrets, op2_nearest, op3_mix, op4_language_id, op5_near_dedup, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing]
+    found = [op1_secrets, op2_nearest, op3_mix, op4_language_id, pages_language_id, op5_near_dedup, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing]
     return {f.__name__: f for f in found}
 
 
