@@ -3,7 +3,8 @@
 From labelled rows of the training folds come the lexicon (words whose presence tells toxic documents from clean ones) and
 the weights of a small logistic model. Texts are read word by word through one automaton: the lexicon's trie
 intersected with the Levenshtein automaton of each word, made deterministic as it is used, so misspelled terms are
-caught in a step for each letter. Around each hit a window of words tells quotation (quotation marks, words of
+caught in a step for each letter. A digit or mark between letters, or before them, counts as a letter where the whole is
+near a term (st*pid, 1diot), and as a gap between words elsewhere. Around each hit a window of words tells quotation (quotation marks, words of
 saying) from abuse (address in the second person, further hits); hits count by exactness and by that context.
 
 Bounded: the fit takes at most `sample` labelled rows of each label by the order of a hash, `terms` lexicon words; both go
@@ -35,7 +36,10 @@ MIN_DOCS, MIN_G2, MIN_SHARE = 3, 20.0, 0.9
 #: Shortest term that may be misspelled, edits, window of words to either side.
 FUZZY_LENGTH, EDITS, WINDOW = 5, 1, 6
 
+#: Words, and words with single digits or marks between or before letters, which may stand for letters.
 _WORD = re.compile(r"[^\W\d_]+")
+_MASKED = re.compile(r"(?:(?<!\w)[\d*@$!#_])?[^\W\d_]+(?:[\d*@$!#_][^\W\d_]+)*")
+_MARK = re.compile(r"[\d*@$!#_]")
 #: Words of saying, and address in the second person, in the four languages of the corpus.
 SAYING = frozenset("said says called calls wrote writes quote quoted quoting reported dijo dice llamó escribió citó sagte sagt nannte schrieb zitierte dit disait appelé écrit cite".split())
 ADDRESS = frozenset("you your youre u ur are tú tu eres usted vosotros du dein deine bist ihr sie vous toi ton ta es êtes votre".split())
@@ -128,25 +132,39 @@ class Scorer:
     def __init__(self, terms: list[str], most_words: int = 400_000):
         self.automaton, self.most = Automaton(terms), most_words
         self.seen: set[str] = set()
+        #: Edits of the words that are near a term; masked words that are not but hold one that is.
         self.hits: dict[str, int] = {}
+        self.holds: set[str] = set()
+
+    def _look(self, word: str) -> None:
+        if (e := self.automaton.run(word)) >= 0:
+            self.hits[word] = e
+        elif _MARK.search(word):
+            for part in _WORD.findall(word):
+                if (e := self.automaton.run(part)) >= 0:
+                    self.hits[part] = e
+                    self.holds.add(word)
 
     def features(self, text: str | None) -> list[float]:
         if not text:
             return [0.0] * N_FEATURES
         low = text.lower()
-        found = set(_WORD.findall(low))
+        found = set(_MASKED.findall(low))
         new = found - self.seen
         if new:
             if len(self.seen) > self.most:
                 self.seen, new = set(), found
-            run = self.automaton.run
             for w in new:
-                if (e := run(w)) >= 0:
-                    self.hits[w] = e
+                self._look(w)
             self.seen |= new
-        if found.isdisjoint(self.hits):
+        if found.isdisjoint(self.hits) and found.isdisjoint(self.holds):
             return [0.0] * N_FEATURES
-        tokens = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low)]
+        tokens: list[tuple[str, int, int]] = []
+        for m in _MASKED.finditer(low):
+            if m.group() in self.hits or not _MARK.search(m.group()):
+                tokens.append((m.group(), m.start(), m.end()))
+            else:
+                tokens += [(x.group(), m.start() + x.start(), m.start() + x.end()) for x in _WORD.finditer(m.group())]
         at = [i for i, t in enumerate(tokens) if t[0] in self.hits]
         exact = fuzzy = quoted = near = addressed = 0
         for k, i in enumerate(at):
