@@ -5,9 +5,12 @@ A folder holds, for ascending doc_id (null first, then by hash of the text),
 * shard-NNNNNN.ids: the ids of its documents one after another, then the table of their offsets (n + 1 unsigned
   64-bit numbers of ids), then the trailer: documents and ids (unsigned 64-bit), bytes of an id (unsigned 64-bit), magic;
 * index-NNNNNN.mph: the minimal perfect hash of a bucket of keys (levels of bits, a bit for each key that is alone in
-  its place, the rest going to the next level), then one slot for each key: fingerprint, shard, ordinal, offset, ids, rows.
+  its place, the rest going to the next level; how many bits are set before each 64 bytes), then one slot for each key:
+  fingerprint, shard, ordinal, offset, ids, rows.
 
-A key leads in constant time to its bucket, its slot, and, if the stored fingerprint agrees, its shard and offset.
+A key leads in constant time to its bucket, its slot, and, if the stored fingerprint agrees, its shard and offset: a lookup
+reads the head of one index file, 64 bytes and a count for each level that it passes (one or two, on average), one slot,
+two offsets and the ids. Shards are as many as the size of the input asks for; rows without a key are dealt over them too.
 Files are written under a name of the attempt and then renamed, so lost or repeated tasks leave whole files only.
 Both kinds are reached through the URI of the shared folder, as an Arrow file system.
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.llm import tokens
-from grainfield.llm.common import cut, ship, trim
+from grainfield.llm.common import broadcast_if_small, cut, ship, trim
 
 END_ID = 0
 MAGIC = b"GFIDS001"
@@ -40,6 +44,9 @@ TRAILER = "<QQQ8s"
 KEYS_PER_BUCKET = 500_000
 GAMMA = 2.0
 LEVELS = 24
+#: Bytes of bits that one stored count covers; bytes of input for each shard, if that makes more shards than partitions are set.
+BLOCK = 64
+SHARD_BYTES = 128 << 20
 SLOT = np.dtype([("fp", "<u4"), ("shard", "<u4"), ("ordinal", "<u4"), ("rows", "<u4"), ("offset", "<u8"), ("n", "<u8")])
 
 
@@ -107,17 +114,64 @@ class PerfectHash:
         return slot
 
     def dump(self) -> bytes:
+        """Head (levels, spare keys, bytes of each level), bits, counts before each block, spare keys."""
         head = struct.pack("<QQ", len(self.bits), len(self.spare)) + b"".join(struct.pack("<Q", len(b)) for b in self.bits)
-        return head + b"".join(b.tobytes() for b in self.bits) + self.spare.astype("<u8").tobytes()
+        counts = b"".join(r[:-1:BLOCK].astype("<u8").tobytes() for r in self.ranks)
+        return head + b"".join(b.tobytes() for b in self.bits) + counts + self.spare.astype("<u8").tobytes()
+
+    @staticmethod
+    def head(f) -> tuple[list[int], int]:
+        n_bits, n_spare = struct.unpack("<QQ", f.read(16))
+        return list(struct.unpack(f"<{n_bits}Q", f.read(8 * n_bits))), n_spare
 
     @classmethod
     def load(cls, f) -> PerfectHash:
-        n_bits, n_spare = struct.unpack("<QQ", f.read(16))
-        sizes = struct.unpack(f"<{n_bits}Q", f.read(8 * n_bits))
+        sizes, n_spare = cls.head(f)
         bits = [np.frombuffer(f.read(n), np.uint8) for n in sizes]
+        f.read(8 * sum(-(-n // BLOCK) for n in sizes))
         return cls(bits, np.frombuffer(f.read(8 * n_spare), "<u8"))
 
 
+def find_in_file(f, key: int) -> tuple[int, int]:
+    """(slot of a key or -1, place of the first slot in the file), reading a block of each level that the key passes."""
+    sizes, n_spare = PerfectHash.head(f)
+    bits, counts = 16 + 8 * len(sizes), 16 + 8 * len(sizes) + sum(sizes)
+    spare = counts + 8 * sum(-(-n // BLOCK) for n in sizes)
+    slots, k = spare + 8 * n_spare, np.array([key], np.uint64)
+    for level, n in enumerate(sizes):
+        at = int(_mix(k, level)[0] % np.uint64(n * 8))
+        byte, block = at >> 3, (at >> 3) // BLOCK
+        f.seek(bits + block * BLOCK)
+        row = f.read(min(BLOCK, n - block * BLOCK))
+        here = byte - block * BLOCK
+        if row[here] >> (at & 7) & 1:
+            f.seek(counts + 8 * block)
+            before = struct.unpack("<Q", f.read(8))[0]
+            return before + int.from_bytes(row[:here], "little").bit_count() + (row[here] & ((1 << (at & 7)) - 1)).bit_count(), slots
+        bits, counts = bits + n, counts + 8 * -(-n // BLOCK)
+    lo, hi = 0, n_spare  # the few left after the last level: by halves
+    while lo < hi:
+        mid = (lo + hi) // 2
+        f.seek(spare + 8 * mid)
+        value = struct.unpack("<Q", f.read(8))[0]
+        if value == key:
+            return _placed(f, sizes) + mid, slots
+        lo, hi = (mid + 1, hi) if value < key else (lo, mid)
+    return -1, slots
+
+
+def _placed(f, sizes: list[int]) -> int:
+    """Keys that have a bit: the last count, and the bits of the last block."""
+    if not sizes:
+        return 0
+    bits, blocks = 16 + 8 * len(sizes), -(-sizes[-1] // BLOCK)
+    counts = bits + sum(sizes) + 8 * sum(-(-n // BLOCK) for n in sizes[:-1])
+    f.seek(counts + 8 * (blocks - 1))
+    before = struct.unpack("<Q", f.read(8))[0]
+    f.seek(bits + sum(sizes[:-1]) + (blocks - 1) * BLOCK)
+    return before + int.from_bytes(f.read(sizes[-1] - (blocks - 1) * BLOCK), "little").bit_count()
+
+
 # ---- files
 
 
@@ -151,7 +205,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     where.create_dir(top, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = F.col("doc_id").asc_nulls_first()
-    rows = (rows.repartitionByRange(shards, order) if shards else rows.repartitionByRange(order)).sortWithinPartitions(order, F.xxhash64("text"))
+    # rows without a key may lie in several shards, rows that share one lie in one
+    apart = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).asc_nulls_first()
+    rows = rows.repartitionByRange(shards or _shards(rows), order, apart).sortWithinPartitions(order, F.xxhash64("text"))
 
     def one_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
@@ -162,7 +218,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             return
         out, top = _open_folder(folder)
         tmp = f"{top}/_shard-{shard:06d}.{uuid.uuid4().hex}"
-        offsets = [0]
+        offsets = array("Q", [0])
         with out.open_output_stream(tmp, buffer_size=1 << 20) as f:
             batch: pa.RecordBatch | None = first
             while batch is not None:
@@ -172,14 +228,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                     f.write(ids)
                     f.write(end)
                     offsets.append(offsets[-1] + len(ids) // enc.width + 1)
-                o = np.array(offsets[begun:], np.int64)
+                o = np.array(offsets[begun:], np.uint64).astype(np.int64)
                 k = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.full(k, shard)), pa.array(np.arange(begun, begun + k)), pa.array(o[:-1]), pa.array(np.diff(o))],
                     ["doc_id", "shard", "ordinal", "offset", "n_tokens"],
                 )
                 batch = next((b for b in batches if b.num_rows), None)
-            f.write(np.array(offsets, "<u8").tobytes())
+            f.write(np.frombuffer(offsets, np.uint64).astype("<u8").tobytes())
             f.write(struct.pack(TRAILER, len(offsets) - 1, offsets[-1], enc.width, MAGIC))
         out.move(tmp, f"{top}/shard-{shard:06d}.ids")
         trim()
@@ -189,6 +245,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     return manifest
 
 
+def _shards(rows: DataFrame) -> int:
+    """As many as partitions are set, or more where the input is larger than that many shards should hold."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # no estimate, or a size at which one more look costs little
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
 def write_index(manifest: DataFrame, folder: str) -> int:
     """Index files of all keys; their number, which is also kept in the folder."""
     keyed = manifest.where(F.col("doc_id").isNotNull())
@@ -236,11 +300,19 @@ def _slots(folder: str, bucket: int, ids: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def get(folder: str, doc_id: int) -> list[np.ndarray]:
     """The id arrays of a key: one for each row that had it; none if it is absent."""
-    found, slots = _slots(folder, bucket_of(doc_id, n_buckets(folder)), np.array([doc_id]))
-    if not found[0]:
-        return []
-    s = slots[0]
     where, top = _open_folder(folder)
+    name = f"{top}/index-{bucket_of(doc_id, n_buckets(folder)):06d}.mph"
+    if where.get_file_info(name).type == fs.FileType.NotFound:
+        return []
+    key = np.array([doc_id], np.int64).view(np.uint64)
+    with where.open_input_file(name) as f:
+        slot, slots = find_in_file(f, int(key[0]))
+        if slot < 0:
+            return []
+        f.seek(slots + slot * SLOT.itemsize)
+        s = np.frombuffer(f.read(SLOT.itemsize), SLOT)[0]
+    if s["fp"] != fingerprint(key)[0]:
+        return []
     with where.open_input_file(f"{top}/shard-{int(s['shard']):06d}.ids") as f:
         n_docs, n_ids, width = _trailer(f)
         f.seek(n_ids * width + int(s["ordinal"]) * 8)
@@ -276,16 +348,27 @@ def locate(keys: DataFrame, folder: str) -> DataFrame:
     return keyed.groupBy("bucket", "chunk").applyInPandas(find, "doc_id long, shard long, ordinal long")
 
 
-def shard_starts(spark: SparkSession, folder: str) -> DataFrame:
-    """shard, before: ids of all shards before it, from the trailers (one row for each file)."""
+def shard_starts(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """shard, before: ids of all shards before it, from the trailers; and how many shards there are. One row for each file."""
     where, top = _open_folder(folder)
     names = sorted(x.path for x in where.get_file_info(fs.FileSelector(top)) if x.base_name.startswith("shard-"))
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, _ = _open_folder(folder)
+        for pdf in batches:
+            n = []
+            for name in pdf["name"]:
+                with where.open_input_file(name) as f:
+                    n.append(_trailer(f)[1])
+            yield pd.DataFrame({"name": pdf["name"], "n": np.array(n, np.int64)})
+
+    few = max(1, -(-len(names) // 256))
+    listed = spark.createDataFrame([(x,) for x in names], "name string").repartition(few).mapInPandas(sizes, "name string, n long").collect()
     rows, before = [], 0
-    for name in names:
-        with where.open_input_file(name) as f:
-            rows.append((int(name.rsplit("-", 1)[1].split(".")[0]), before))
-            before += _trailer(f)[1]
-    return spark.createDataFrame(rows, "shard long, before long")
+    for name, n in sorted(tuple(r) for r in listed):
+        rows.append((int(name.rsplit("-", 1)[1].split(".")[0]), before))
+        before += n
+    return spark.createDataFrame(rows, "shard long, before long"), len(rows)
 
 
 def read_back(places: DataFrame, folder: str) -> DataFrame:
@@ -310,8 +393,8 @@ def read_back(places: DataFrame, folder: str) -> DataFrame:
         return pd.DataFrame({"doc_id": pdf["doc_id"], "shard": pdf["shard"], "start": lo, "n_tokens": hi - lo, "ids_crc32": np.array(crcs, np.int64)})
 
     read = places.groupBy("shard").applyInPandas(one_shard, "doc_id long, shard long, start long, n_tokens long, ids_crc32 long")
-    starts = shard_starts(places.sparkSession, folder)
-    return read.join(F.broadcast(starts), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    starts, n = shard_starts(places.sparkSession, folder)
+    return read.join(broadcast_if_small(starts, n), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def remove(folder: str) -> None:
