@@ -9,8 +9,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces in the memo of one Python worker before it becomes the old one, which a second like it replaces.
-MEMO_PIECES = 500_000
+#: Pieces that one Python worker remembers: half of them in the memo, then it becomes the old one, which a second like it replaces.
+MEMO_PIECES = 1_000_000
 
 #: White space other than a plain space or line feed, or the mark that pieces are cut by.
 _ODD = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\0]")
@@ -95,7 +95,7 @@ class Encoder(dict):
             return b""
         if not self.splits or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text):
             return self.plain(text)
-        if len(self) > self.limit:
+        if 2 * len(self) > self.limit:
             # what is still in use comes over from the old memo
             self.old = dict(self)
             self.clear()
