@@ -17,7 +17,8 @@ from grainfield.llm.mix import solve, word_count
 from grainfield.llm.neardup import near_dedup
 from grainfield.llm.packing import pack
 
-MEMO = 250_000
+#: Pieces that the encoder of a worker remembers: few, since a worker also keeps what the other stages need.
+MEMO = 60_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
