@@ -8,7 +8,10 @@ partition packs by itself, streaming with a bounded pool; at most one of its seq
 
 Nothing is shuffled; a lost task is packed again from its own split.
 
-Defined results: a null or empty text is the end id alone. Null and repeated doc_ids are rows like any
+Where every token bears loss and its limit is that of the tokens (as for plain documents), that limit never binds; prompts and
+turns that bear none, or a lower limit, are what it is for.
+
+Defined results: a null or empty text is the end id alone. A null in the loss column bears none. Null and repeated doc_ids are rows like any
 other: each row's ids are packed once. An empty table gives no piece. Extra columns are ignored.
 """
 
@@ -127,8 +130,9 @@ class Packer:
             self._emit(bin_)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = END_ID, prompt: str | None = None, with_ids: bool = False, memo: int | None = None) -> DataFrame:
-    """One row for each piece. prompt: a column whose ids come before the text's and bear no loss. with_ids: also the ids, as little-endian unsigned 32-bit integers. memo: pieces that a worker's encoder remembers (memory against CPU)."""
+def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = END_ID, prompt: str | None = None, loss: str | None = None, with_ids: bool = False, memo: int | None = None) -> DataFrame:
+    """One row for each piece. prompt: a column whose ids come before the text's and bear no loss. loss: a boolean column, rows in which it
+    is not true bearing none at all (turns that are not to be learned). with_ids: also the ids, as little-endian unsigned 32-bit integers. memo: pieces that a worker's encoder remembers (memory against CPU)."""
     if min(max_tokens, max_segments, max_loss or max_tokens) < 1:
         raise ValueError("limits must be 1 or more")
     ship(docs.sparkSession)
@@ -147,9 +151,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, cols, strict=True)], names)
 
         for batch in batches:
-            for doc, text, before in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for doc, text, before, bears in zip(*batch.columns, strict=True):
                 head = enc.encode(before.as_py())
-                packer.add(doc.as_py(), head + enc.encode(text.as_py()) + end, len(head) // enc.width)
+                ids = head + enc.encode(text.as_py()) + end
+                packer.add(doc.as_py(), ids, len(head if bears.as_py() else ids) // enc.width)
                 if len(packer.out) >= 4096:
                     yield flush()
         packer.drain(0)
@@ -158,4 +163,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
         trim()
 
     before = F.col(prompt) if prompt else F.lit(None)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), before.cast("string").alias("_before")).mapInArrow(run, WITH_IDS if with_ids else SCHEMA)
+    bears = F.coalesce(F.col(loss).cast("boolean"), F.lit(False)) if loss else F.lit(True)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), before.cast("string").alias("_before"), bears.alias("_bears")).mapInArrow(run, WITH_IDS if with_ids else SCHEMA)

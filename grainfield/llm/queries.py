@@ -72,8 +72,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def conversations_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op10 over instruction data: turns of conversations, of which the assistant's bear loss; all three limits bind.
+
+    doc_id is conv_id * 2^20 + turn.
+    """
+    turns = table(spark, sf_dir, "conversations").select((F.shiftleft(F.col("conv_id").cast("long"), 20) + F.col("turn")).alias("doc_id"), "text", (F.col("role") == "assistant").alias("learned"))
+    return pack(turns, max_segments=6, max_loss=768, loss="learned")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secrets, op2_nearest, op3_mix, op4_language_id, pages_language_id, op5_near_dedup, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing]
+    found = [op1_secrets, op2_nearest, op3_mix, op4_language_id, pages_language_id, op5_near_dedup, op6_line_dedup, op7_token_ids, op8_toxicity, op9_quality, op10_packing, conversations_packing]
     return {f.__name__: f for f in found}
 
 
