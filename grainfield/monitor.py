@@ -45,10 +45,14 @@ def set_max_ram(mb: float | None) -> None:
 
 
 def set_threads(spark: SparkSession, n: int | None) -> None:
-    """Shuffle partitions of later queries: None is 1, 0 all cores."""
+    """Shuffle partitions of later queries: None restores the session's own number, 0 is all cores."""
     if n is not None and n < 0:
         raise ValueError("threads must not be negative")
-    CONFIG.threads = 1 if n is None else n or os.cpu_count() or 1
+    if n is None:
+        CONFIG.threads = 1
+        spark.conf.unset("spark.sql.shuffle.partitions")
+        return
+    CONFIG.threads = n or os.cpu_count() or 1
     spark.conf.set("spark.sql.shuffle.partitions", str(CONFIG.threads))
 
 
@@ -68,7 +72,12 @@ def get_max_dense_chunk_mb() -> int:
 
 
 def rss_mb() -> float:
-    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    """Megabytes that this process holds now; where the system does not say, the most it has held."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+    except OSError:
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
 
 
 def performance_snapshot() -> dict[str, float]:

@@ -18,6 +18,8 @@ MEASURED, WANTED = 128, 0.95
 SAVING = 4
 #: Rows of a leaf and queries of it that one task holds; queries compared at once; leaves that may be broadcast.
 PIECE, BLOCK, ROWS, LEAVES = 8_192, 8_192, 256, 100_000
+#: Cells of a block of those that share a neighbour.
+HUB = 1_024
 
 
 def knn(embeddings: DataFrame, k: int = K, dims: int | None = None) -> DataFrame:
@@ -168,9 +170,12 @@ def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: in
 
 def snn(neighbours: DataFrame, k: int = K, prune: float = PRUNE) -> DataFrame:
     """src, dst, weight in both directions: shared neighbours (self counts) over 2k - shared, above prune."""
-    a = neighbours.select(F.col("cell_id").alias("src"), "nbr_id")
-    b = neighbours.select(F.col("cell_id").alias("dst"), "nbr_id")
-    shared = a.join(b, "nbr_id").where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    # a cell that very many have as a neighbour meets them in blocks
+    hubs = neighbours.groupBy("nbr_id").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("blocks")).where(F.col("blocks") > 1)
+    rows = neighbours.select("cell_id", "nbr_id").join(hubs, "nbr_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    a = rows.select(F.col("cell_id").alias("src"), "nbr_id", F.pmod(F.xxhash64("cell_id"), F.col("blocks")).cast("int").alias("block"))
+    b = rows.select(F.col("cell_id").alias("dst"), "nbr_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    shared = a.join(b, ["nbr_id", "block"]).where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("c"))
     half = shared.withColumn("weight", F.col("c") / (2.0 * k - F.col("c"))).where(F.col("weight") > prune).select("src", "dst", "weight")
     return half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 

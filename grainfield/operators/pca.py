@@ -3,23 +3,73 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfield.assay import Assay
 from grainfield.operators.variable import gene_moments
+from grainfield.session import checkpointed, ship
 
 #: Cross products of all pairs of genes up to so many; beyond that, subspace iteration by matrix products.
 GRAM_GENES = 2_000
 SMALL_GENES, SMALL_CELLS = 2_000, 5_000
 
 
+def cross_products(coo: DataFrame, features: DataFrame, limit: int = GRAM_GENES) -> DataFrame:
+    """i, j, s (i <= j): sums over cells of the products of two genes, for pairs that some cell has both of.
+
+    Up to `limit` genes each task adds up one square block over its cells, and only rows of blocks are shuffled; beyond that, pairs
+    of genes meet in a join by cell.
+    """
+    x = coo.join(features.select("gene_id"), "gene_id", "left_semi")
+    ids = np.array(sorted(r[0] for r in features.select("gene_id").distinct().limit(limit + 1).collect()))
+    if len(ids) > limit:
+        a = x.select("cell_id", F.col("gene_id").alias("i"), F.col("value").alias("a"))
+        b = x.select("cell_id", F.col("gene_id").alias("j"), F.col("value").alias("b"))
+        return a.join(b, "cell_id").where(F.col("i") <= F.col("j")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    g = len(ids)
+
+    def block(batches):
+        total, rest = np.zeros((g, g)), None
+        for batch in batches:
+            cell, gene, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if rest is not None:
+                cell, gene, value = (np.concatenate(p) for p in zip(rest, (cell, gene, value), strict=True))
+            # the last cell may go on in the next batch
+            whole = np.searchsorted(cell, cell[-1]) if len(cell) else 0
+            rest = (cell[whole:], gene[whole:], value[whole:])
+            _add(total, cell[:whole], np.searchsorted(ids, gene[:whole]), value[:whole])
+        if rest is not None:
+            _add(total, rest[0], np.searchsorted(ids, rest[1]), rest[2])
+            at = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(total[at]), pa.list_(pa.float64()))], ["i", "v"])
+
+    def added(pdf):
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
+
+    ship(coo.sparkSession)
+    dealt = x.select("cell_id", "gene_id", F.col("value").cast("double")).repartition("cell_id").sortWithinPartitions("cell_id")
+    rows = dealt.mapInArrow(block, "i int, v array<double>").groupBy("i").applyInPandas(added, "i int, v array<double>")
+    named = F.array(*[F.lit(int(i)) for i in ids])
+    pairs = rows.select(F.col("i"), F.posexplode("v").alias("j", "s")).where((F.col("j") >= F.col("i")) & (F.col("s") != 0))
+    return pairs.select(F.get(named, F.col("i")).alias("i"), F.get(named, F.col("j")).alias("j"), "s")
+
+
+def _add(total: np.ndarray, cell: np.ndarray, place: np.ndarray, value: np.ndarray, width: int = 2_048) -> None:
+    """Add the products of whole cells (ascending), some cells at a time as a dense block."""
+    row = np.cumsum(np.concatenate([[0], np.diff(cell) != 0])) if len(cell) else np.zeros(0, int)
+    for first in range(0, int(row[-1]) + 1 if len(row) else 0, width):
+        lo, hi = np.searchsorted(row, [first, first + width])
+        x = np.zeros((width, len(total)))
+        np.add.at(x, (row[lo:hi] - first, place[lo:hi]), value[lo:hi])
+        total += x.T @ x
+
+
 def gram(coo: DataFrame, features: DataFrame, n_cells: int, scale: bool = False) -> DataFrame:
     """i, j, value (i <= j) of the covariance (scale: correlation-like, per-gene sd 1) of the genes in features."""
-    x = coo.join(features.select("gene_id"), "gene_id", "left_semi")
-    a = x.select("cell_id", F.col("gene_id").alias("i"), F.col("value").alias("a"))
-    b = x.select("cell_id", F.col("gene_id").alias("j"), F.col("value").alias("b"))
-    s = a.join(b, "cell_id").where(F.col("i") <= F.col("j")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    s = cross_products(coo, features)
     m = gene_moments(coo.join(features.select("gene_id"), "gene_id", "left_semi"), features, n_cells).select("gene_id", "mean", F.sqrt("variance").alias("sd"))
     mi = m.select(F.col("gene_id").alias("i"), F.col("mean").alias("mi"), F.col("sd").alias("si"))
     mj = m.select(F.col("gene_id").alias("j"), F.col("mean").alias("mj"), F.col("sd").alias("sj"))
@@ -39,8 +89,6 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
 
 
 def _columns(rows: np.ndarray, ids: np.ndarray, spark) -> DataFrame:
-    import pandas as pd
-
     return spark.createDataFrame(pd.DataFrame({"gene_id": ids.astype("int32"), "vec": [r.tolist() for r in rows]}), "gene_id int, vec array<double>")
 
 
@@ -60,7 +108,8 @@ def run_pca(coo: DataFrame, features: DataFrame, cells: DataFrame, npcs: int = 5
     spark = coo.sparkSession
     ids = np.array(sorted(r[0] for r in features.select("gene_id").collect()))
     n_cells, g = cells.count(), len(ids)
-    coo = coo.join(features.select("gene_id"), "gene_id", "left_semi")
+    # read several times below
+    coo = checkpointed(coo.join(features.select("gene_id"), "gene_id", "left_semi"))
     stats = {r["gene_id"]: (r["mean"], r["variance"]) for r in gene_moments(coo, features, n_cells).collect()}
     mean = np.array([stats[i][0] for i in ids])
     sd = np.sqrt(np.array([stats[i][1] for i in ids]))

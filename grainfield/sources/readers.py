@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainfield.assay import Assay
+from grainfield.functions.rank import positions
 from grainfield.sources import store
 
 LAYER_PREFIXES = ("counts", "data", "scale.data")
@@ -41,20 +42,18 @@ def _present(spark: SparkSession, path: str) -> str | None:
 
 def mtx_header(spark: SparkSession, path: str) -> dict:
     """pattern, integer, rows, cols, nnz of a MatrixMarket file; blank lines and comments before the size line are skipped."""
-    head = spark.read.text(path).limit(10_000).collect()
-    kind = {"pattern": False, "integer": False}
-    for line in (r["value"] for r in head):
-        s = line.strip()
-        if s.startswith("%"):
-            if s.lower().startswith("%%matrixmarket"):
-                kind = {k: k in s.lower() for k in kind}
-            continue
-        if s:
-            parts = s.split()
-            if len(parts) != 3 or not all(re.fullmatch(r"\d+", p) for p in parts):
-                raise ValueError(f"bad size line in {path}: {s!r}")
-            return kind | dict(zip(("rows", "cols", "nnz"), map(int, parts), strict=True))
-    raise ValueError(f"no size line in {path}")
+    lines = spark.read.text(path)
+    text = F.trim(F.regexp_replace("value", r"\s+", " "))
+    banner = [r["value"].lower() for r in lines.limit(1).collect() if r["value"].lower().startswith("%%matrixmarket")]
+    kind = {k: bool(banner) and k in banner[0] for k in ("pattern", "integer")}
+    # the first line, in the file's order, that is no comment: however many stand before it
+    found = lines.select(text.alias("s")).where((F.col("s") != "") & ~F.col("s").startswith("%")).limit(1).collect()
+    if not found:
+        raise ValueError(f"no size line in {path}")
+    parts = found[0]["s"].split()
+    if len(parts) != 3 or not all(re.fullmatch(r"\d+", p) for p in parts):
+        raise ValueError(f"bad size line in {path}: {found[0]['s']!r}")
+    return kind | dict(zip(("rows", "cols", "nnz"), map(int, parts), strict=True))
 
 
 def read_mtx(spark: SparkSession, path: str, validate: bool = True) -> tuple[DataFrame, dict]:
@@ -76,8 +75,7 @@ def read_mtx(spark: SparkSession, path: str, validate: bool = True) -> tuple[Dat
             raise ValueError(f"{path} has {n} entries; its size line says {header['nnz']}")
     same = rows.where(F.col("s") == size).count()
     entries = rows.where(F.col("s") != size)
-    inside = 1 <= header["rows"] and header["cols"] <= header["cols"] and header["cols"] >= 1
-    if same > 1 and inside:
+    if same > 1 and min(header["rows"], header["cols"]) >= 1:
         extra = spark.createDataFrame([(header["rows"], header["cols"], float(header["nnz"]) if not header["pattern"] else 1.0)] * (same - 1), "r long, c long, value double")
         entries = entries.select("r", "c", "value").unionByName(extra)
     coo = entries.select((F.col("c") - 1).alias("cell_id"), (F.col("r") - 1).cast("int").alias("gene_id"), "value")
@@ -93,8 +91,7 @@ def read_names(spark: SparkSession, path: str | None, id_column: str, name_colum
     first, second = F.element_at(parts, 1), F.try_element_at(parts, F.lit(2))
     name = F.coalesce(F.nullif(F.trim(second), F.lit("")), first) if prefer_second else first
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("_o"), F.rtrim(name).alias(name_column))
-    rank = F.row_number().over(Window.orderBy("_o")) - 1  # a name list: one row for each gene or cell
-    return lines.select(rank.cast(kind).alias(id_column), name_column)
+    return positions(lines, F.col("_o"), name="_at").select(F.col("_at").cast(kind).alias(id_column), name_column)
 
 
 def import_10x(spark: SparkSession, folder: str, assay: str = "RNA") -> Assay:
@@ -120,9 +117,9 @@ def from_dataframe(counts: DataFrame, features: DataFrame | None = None, cells:
     if validate and counts.where(F.col("value") < 0).limit(1).count():
         raise ValueError("counts have negative values")
     if n_genes is None and features is None:
-        n_genes = (counts.agg(F.max("gene_id")).first()[0] or -1) + 1
+        n_genes = counts.agg(F.coalesce(F.max("gene_id") + 1, F.lit(0))).first()[0]
     if n_cells is None and cells is None:
-        n_cells = (counts.agg(F.max("cell_id")).first()[0] or -1) + 1
+        n_cells = counts.agg(F.coalesce(F.max("cell_id") + 1, F.lit(0))).first()[0]
     features = default_names(spark, n_genes, "gene_id", "gene", "gene") if features is None else unique_names(features)
     cells = default_names(spark, n_cells, "cell_id", "cell", "cell") if cells is None else cells
     return Assay(features, cells, {"counts": counts}, name=assay)
