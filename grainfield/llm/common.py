@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grainfield.session import checkpointed, shared_folder, ship
 
-__all__ = ["arrow_rows", "broadcast_if_small", "cut", "held", "let", "lower_ascii", "new_folder", "removed", "ship", "table", "trim", "words"]
+__all__ = ["arrow_rows", "broadcast_if_small", "cut", "few_files", "held", "let", "lower_ascii", "new_folder", "removed", "ship", "table", "trim", "words"]
 
 #: White space of the word rule of every operator: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -20,8 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables of at most so many (narrow) rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Narrow rows in one file of a materialised table.
-ROWS_PER_FILE = 20_000
+#: Rows in one file of a materialised table: narrow ones, and documents (or what takes as much work to make).
+ROWS_PER_FILE, DOCS_PER_FILE = 20_000, 4_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,14 +38,16 @@ def removed(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Materialise in the shared folder and forget the lineage; a lost executor costs nothing of it.
 
-    rows: about how many narrow rows there are, if known: they are kept in as few files as that asks for.
+    rows: about how many rows there are at most, if known: they come in as few tasks and files as that asks for, `per_file` each.
     """
-    if rows is not None:
-        df = df.coalesce(max(8, -(-rows // ROWS_PER_FILE)))
-    return checkpointed(df)
+    return checkpointed(df if rows is None else few_files(df, rows, per_file))
+
+
+def few_files(df: DataFrame, rows: int, per_file: int) -> DataFrame:
+    return df.coalesce(max(8, -(-rows // per_file)))
 
 
 def held(df: DataFrame, rows: int) -> DataFrame:

@@ -56,7 +56,7 @@ def fit_text(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tupl
         return [], np.zeros((BUCKETS, 0), np.float32)
     ranked = docs.where(F.col(label).isin(names) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"))
     order = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = cut(ranked.distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("doc_id", "_label"))
+    ids = cut(ranked.distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("doc_id", "_label"), sample * len(names))
     texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id").select("_label", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +134,9 @@ def language_id(docs: DataFrame, host: Column | None = None, markup: Column | No
     seen = docs.select(whole, where.alias("_host"), _suffix(where).alias("_suffix"), F.nullif(F.array_position(codes, declared), F.lit(0)).alias("_said"), likelihood("text").alias("_text"))
 
     # one row for each host, suffix, declaration and language from text alone
-    counted = cut(seen.select("_host", "_suffix", "_said", _best(F.col("_text")).alias("_is")).where(F.col("_is").isNotNull()).groupBy("_host", "_suffix", "_said", "_is").agg(F.count(F.lit(1)).alias("n")))
+    n_docs = docs.count()
+    counted = seen.select("_host", "_suffix", "_said", _best(F.col("_text")).alias("_is")).where(F.col("_is").isNotNull())
+    counted = cut(counted.groupBy("_host", "_suffix", "_said", "_is").agg(F.count(F.lit(1)).alias("n")), n_docs)
     per = [F.sum(F.when(F.col("_is") == i + 1, F.col("n")).otherwise(0)).cast("double") for i in range(n)]
     corpus = counted.agg(*[F.coalesce(p, F.lit(0.0)).alias(f"c{i}") for i, p in enumerate(per)]).first()
     total = sum(corpus)
@@ -150,11 +152,11 @@ def language_id(docs: DataFrame, host: Column | None = None, markup: Column | No
 
     logs = lambda c: F.transform(c, lambda x: F.log(x))
     suffixes = counted.where(F.col("_suffix").isNotNull()).groupBy(F.col("_suffix").alias("_k")).agg(F.array(*per).alias("_s"))
-    suffixes = cut(smoothed(suffixes, "_s", literal(share), SUFFIX_WEIGHT, "_up"))
+    suffixes = cut(smoothed(suffixes, "_s", literal(share), SUFFIX_WEIGHT, "_up"), n_docs)
     hosts = counted.where(F.col("_host").isNotNull()).groupBy("_host", "_suffix").agg(F.array(*per).alias("_c"))
     hosts = hosts.join(broadcast_if_small(suffixes), F.col("_suffix") == F.col("_k"), "left")
     hosts = smoothed(hosts, "_c", F.coalesce("_up", literal(share)), HOST_WEIGHT, "_p")
-    hosts = cut(hosts.select(F.col("_host").alias("_h"), logs("_p").alias("_prior")))
+    hosts = cut(hosts.select(F.col("_host").alias("_h"), logs("_p").alias("_prior")), n_docs)
     # log p(declaration | language), a share of declarations being simply wrong; a row for each language
     all_said = [sum(c[i] for c in said.values()) for i in range(n)]
     right = lambda d, i: 0.9 if i == d - 1 else 0.1 / max(1, n - 1)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfield.llm.common import BROADCAST_ROWS, broadcast_if_small, cut
+from grainfield.llm.common import BROADCAST_ROWS, DOCS_PER_FILE, broadcast_if_small, cut
 
 #: Least number of sites, sketch size (2^n registers), and the half-width of the band of estimates that are
 #: counted exactly: a share of min_sites, some nine standard errors of such a sketch.
@@ -53,9 +53,10 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, b
     spread = places.groupBy(*line).agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_doc"))
     sized = spread.select(*line, "first_doc", F.hll_sketch_estimate("sketch").alias("estimate"))
     # lines on several sites are fewer than documents: that many files hold them
-    found = cut(sized.where(F.col("estimate") >= min_sites * (1 - band)), docs.count())
+    n_docs = docs.count()
+    found = cut(sized.where(F.col("estimate") >= min_sites * (1 - band)), n_docs)
     n = found.count()
-    hits = cut(places.join(broadcast_if_small(found.select(*line, "estimate"), n, broadcast_rows), line))
+    hits = cut(places.join(broadcast_if_small(found.select(*line, "estimate"), n, broadcast_rows), line), n_docs, DOCS_PER_FILE)
     near = F.col("estimate") <= min_sites * (1 + band)
     exact = hits.where(near).select(*line, "site").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("exact"))
     lines = found.join(exact, line, "left").select(*line, "first_doc", F.coalesce("exact", "estimate").alias("sites")).where(F.col("sites") >= min_sites)

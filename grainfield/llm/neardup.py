@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfield.llm.common import arrow_rows, cut, ship, trim
+from grainfield.llm.common import DOCS_PER_FILE, arrow_rows, cut, ship, trim
 from grainfield.session import without_statistics
 
 SHINGLE = 5
@@ -238,23 +238,24 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def _near_dedup(docs: DataFrame) -> DataFrame:
-    signed = cut(_signed(docs))
+    n_docs = docs.count()
+    signed = cut(_signed(docs), n_docs, DOCS_PER_FILE)
     # equal sets are one node, named by its least doc_id
     filled = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = cut(filled.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), signed.count())
+    nodes = cut(filled.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), n_docs)
     n_nodes = nodes.count()
     named = nodes.select(F.col("rep").alias("doc_id"), "f0", "f1")
     reps = filled.join(named, ["doc_id", "f0", "f1"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys")
-    reps = cut(reps)
+    reps = cut(reps, n_nodes)
     banded = reps.select("id", "n", F.explode("keys").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= 2).select("bucket", "lead")
-    members = cut(banded.join(shared, "bucket"))
-    sets = cut(_sets(docs, cut(members.select("id").distinct(), n_nodes)))
+    members = cut(banded.join(shared, "bucket"), BANDS * n_nodes, BANDS * DOCS_PER_FILE)
+    sets = cut(_sets(docs, cut(members.select("id").distinct(), n_nodes)), n_nodes, DOCS_PER_FILE)
     pairs = cut(members.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b"), "n").distinct(), n_nodes)
     links = cut(_compared(pairs, sets), n_nodes)
     first = components(links, n_nodes)
     labelled = members.join(first, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "lead", F.coalesce("label", "id").alias("label"))
-    labelled = cut(labelled)
+    labelled = cut(labelled, BANDS * n_nodes, BANDS * DOCS_PER_FILE)
     # all but the leader, whose pairs are known, are in one component: nothing is open
     state = labelled.where(F.col("id") != F.col("lead")).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
     open_ = labelled.where(F.col("id") != F.col("lead")).join(state.select("bucket"), "bucket", "left_semi").select("bucket", "id", "n", "label")
