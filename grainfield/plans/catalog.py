@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from grainfield.functions.mathx import erfc_sql, portable
 from grainfield.operators import cluster, graph, integrate, markers, matrix, normalize, pca, variable
 from grainfield.plans.fixtures import SQL_F1, SQL_F2, SQL_VST, f1, f2, f4, sql_moments
+from grainfield.session import shared_folder
+from grainfield.sources import export, readers, store
 from grainfield.sources.readers import unique_names
+from grainfield.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -392,6 +396,37 @@ def pca_embeddings(spark, d):
     return pca.run_pca(_data(a), a.features, a.cells, 20)["embeddings"]
 
 
+@query(_f2(""", m AS (%s), k AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) AS r FROM f), n AS (SELECT least((SELECT count(*) FROM f), (SELECT n_cells FROM nc)) AS n)
+SELECT CAST(a.r - 1 AS INTEGER) AS a, CAST(b.r - 1 AS INTEGER) AS b, CASE WHEN a.r = b.r THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dot FROM k a JOIN k b ON a.r <= b.r CROSS JOIN n WHERE b.r <= n""" % sql_moments("ln_")))
+def pca_loadings_orthonormal(spark, d):
+    """Products of all pairs of loading vectors."""
+    a = f2(spark, d)
+    rows = _full_pca(a)["loadings"].select("gene_id", F.posexplode("vec").alias("a", "x"))
+    other = rows.select("gene_id", F.col("a").alias("b"), F.col("x").alias("y"))
+    return rounded(rows.join(other, "gene_id").where(F.col("a") <= F.col("b")).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot")), "dot")
+
+
+@query(_gram_sql(False))
+def pca_covariance(spark, d):
+    """The covariance put together again from all loadings and standard deviations."""
+    found = _full_pca(f2(spark, d))
+    rows = found["loadings"].select("gene_id", F.posexplode("vec").alias("k", "x")).join(found["stdev"].select((F.col("pc") - 1).alias("k"), "stdev"), "k")
+    other = rows.select(F.col("gene_id").alias("j"), "k", F.col("x").alias("y"))
+    pairs = rows.select(F.col("gene_id").alias("i"), "k", "x", "stdev").join(other, "k").where(F.col("i") <= F.col("j"))
+    return rounded(pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y") * F.col("stdev") * F.col("stdev")).alias("value")), "value", digits=5)
+
+
+@query(_f2(f", m AS ({sql_moments('ln_')}) SELECT c.cell_id, round(sum(power(coalesce(value, 0) - mean, 2)), 5) AS norm2 FROM c CROSS JOIN m LEFT JOIN ln_ ON ln_.cell_id = c.cell_id AND ln_.gene_id = m.gene_id GROUP BY ALL"))
+def pca_cell_norms(spark, d):
+    """Squared lengths of all scores: those of the centred cells, if the scores lose nothing."""
+    found = _full_pca(f2(spark, d))["embeddings"]
+    return rounded(found.select("cell_id", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("norm2")), "norm2", digits=5)
+
+
+def _full_pca(a) -> dict[str, DataFrame]:
+    return pca.run_pca(_data(a), a.features, a.cells, a.n_genes)
+
+
 # ---- integration
 
 
@@ -425,18 +460,91 @@ def mnn_raw_correction(spark, d):
     return rounded(raw.select("id", F.posexplode("vec").alias("pos", "correction")), "correction")
 
 
-@query()
+def _round_sql(i: int) -> str:
+    """One round of correction: pairs, raw corrections, kernel-weighted means and the moved vectors v<i>, from v<i - 1>."""
+    apart = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: power(p[1] - p[2], 2)))"
+    return f"""
+dd{i} AS (SELECT a.id AS ref_id, b.id AS query_id, sqrt({apart}) AS dist FROM v{i - 1} a JOIN v{i - 1} b ON a.is_ref AND NOT b.is_ref),
+pairs{i} AS (SELECT ref_id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id) AS x, row_number() OVER (PARTITION BY ref_id ORDER BY dist, query_id) AS y FROM dd{i}) WHERE x <= 20 AND y <= 20),
+u{i} AS (SELECT query_id AS id, unnest(list_zip(r.vec, q.vec)) AS z, generate_subscripts(r.vec, 1) AS pos FROM pairs{i} JOIN v{i - 1} r ON r.id = ref_id JOIN v{i - 1} q ON q.id = query_id),
+c{i} AS (SELECT id, list(c ORDER BY pos) AS c FROM (SELECT id, pos, avg(z[1] - z[2]) AS c FROM u{i} GROUP BY ALL) GROUP BY id HAVING max(abs(c)) > 0),
+n{i} AS (SELECT 0.1::DOUBLE * sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS n FROM v{i - 1} WHERE NOT is_ref ORDER BY id LIMIT 1),
+k{i} AS (SELECT a.id, c.c, exp(-{apart} / (2 * power(CASE WHEN n >= 1e-6 THEN n ELSE 1 END, 2))) AS k FROM v{i - 1} a JOIN c{i} c ON NOT a.is_ref JOIN v{i - 1} b ON b.id = c.id CROSS JOIN n{i}),
+w{i} AS (SELECT id, sum(k) AS w FROM k{i} GROUP BY id),
+x{i} AS (SELECT id, generate_subscripts(c, 1) AS pos, unnest(c) * k AS t FROM k{i}),
+m{i} AS (SELECT id, pos, CASE WHEN any_value(w) > 1e-10 THEN sum(t) / any_value(w) ELSE 0 END AS m FROM x{i} JOIN w{i} USING (id) GROUP BY id, pos),
+l{i} AS (SELECT id, list(m ORDER BY pos) AS m FROM m{i} GROUP BY id),
+v{i} AS (SELECT v.id, CASE WHEN m IS NULL THEN vec ELSE list_transform(list_zip(vec, m), lambda p: p[1] + p[2]) END AS vec, is_ref FROM v{i - 1} v LEFT JOIN l{i} USING (id))"""
+
+
+_V0 = f"{_REF}, v0 AS (SELECT vec_id AS id, list_transform(embedding[1:30], lambda x: x::DOUBLE) AS vec, label % 2 = b AS is_ref FROM embeddings CROSS JOIN ref)"
+
+
+@query(f"WITH {_V0}, {_round_sql(1)} SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(m, 6) AS correction FROM m1")
 def mnn_smoothed(spark, d):
     ref, query_ = _batches(f4(spark, d))
     raw = integrate.raw_correction(integrate.mnn_pairs(ref, query_), ref, query_)
     return rounded(integrate.smoothed_correction(query_, raw).select("id", F.posexplode("vec").alias("pos", "correction")), "correction")
 
 
-@query()
+@query(f"WITH {_V0}, {_round_sql(1)}, {_round_sql(2)} SELECT cell_id, pos, round(v, 5) AS v FROM (SELECT id AS cell_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, unnest(vec) AS v FROM v2)")
 def integrated(spark, d):
     a = f4(spark, d)
-    return integrate.integrate(a.table("embeddings"), a.cells)
+    return rounded(integrate.integrate(a.table("embeddings"), a.cells).select("cell_id", F.posexplode("vec").alias("pos", "v")), "v", digits=5)
+
+
+# ---- sources and the store: written to the shared folder, read again, compared with the source
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_f1("SELECT cell_id, gene_id, value FROM x"))
+def mtx_directory(spark, d):
+    """F1 as a MatrixMarket directory (1-based), loaded."""
+    a, at = f1(spark, d), _folder(spark, "mtx")
+    size = a.layer("counts").agg(F.max("gene_id").alias("g"), F.max("cell_id").alias("c")).first()
+    export.write_mtx(a.layer("counts"), at, size["g"] + 1, size["c"] + 1)
+    return rounded(readers.load(spark, at).layer("counts"), "value")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS gene_id, CASE WHEN k = 1 THEN p_name ELSE p_name || '.' || (k - 1) END AS gene FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)")
+def mtx_features(spark, d):
+    """The feature names of a MatrixMarket directory, made unique."""
+    a, at = f1(spark, d), _folder(spark, "mtx")
+    export.write_mtx(a.layer("counts").limit(0), at, a.n_genes, a.n_cells)
+    export.write_names(a.features.select("gene_id", F.col("gene").alias("name")), f"{at}/features.tsv", "gene_id")
+    return readers.load(spark, at).features
+
+
+@query(_f1("SELECT cell_id, gene_id, round(value, 6) AS value FROM ln_"))
+def store_layers(spark, d):
+    """Counts stored, opened, normalised, stored as a layer and opened again."""
+    at = _folder(spark, "store")
+    store.write_assay(f1(spark, d), at)
+    a = normalize.normalize_data(store.read_assay(spark, at, "F1"))
+    store.write_table(a.layer("data"), f"{store.root(at, 'F1')}/layers/data", sort=["cell_id", "gene_id"])
+    return rounded(readers.load(spark, store.read_assay(spark, at, "F1")).layer("data"), "value")
+
+
+@query("SELECT vec_id AS cell_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings")
+def store_tables(spark, d):
+    """A dense table of vectors stored and opened."""
+    at = _folder(spark, "store")
+    a = f4(spark, d)
+    a.layers["counts"] = spark.createDataFrame([(0, 0, 1.0)], "cell_id long, gene_id int, value double")
+    store.write_assay(a, at)
+    return store.read_assay(spark, at, "F4").table("embeddings").select("cell_id", F.posexplode("vec").alias("pos", "v"))
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return log_normalize(spark, d)
+@query(_f1("SELECT c.cell_id, coalesce(s, 0) AS size_factor FROM c LEFT JOIN (SELECT cell_id, sum(value) AS s FROM x GROUP BY 1) USING (cell_id)"))
+def appended_columns(spark, d):
+    """Columns that arrive in two batches, appended to a stored layer: the library sizes of all."""
+    at = _folder(spark, "store")
+    a = f1(spark, d)
+    for part in (0, 1):
+        cells = a.cells.where(F.col("cell_id") % 2 == part)
+        incremental.append_columns(a.layer("counts").join(cells.select("cell_id"), "cell_id", "left_semi"), cells, a.features, at, "F1", part)
+    found = store.read_assay(spark, at, "F1")
+    return normalize.library_size(found.layer("counts"), found.cells)

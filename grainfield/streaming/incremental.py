@@ -1,10 +1,12 @@
-"""Library sizes and gene moments of count entries that arrive as a stream: mergeable sums, kept by Structured Streaming."""
+"""Count entries that arrive as a stream: library sizes and gene moments as mergeable sums, and columns appended to a store."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfield.sources import store
+
 
 def library_size(entries: DataFrame) -> DataFrame:
     """cell_id, size_factor so far (complete or update mode)."""
@@ -21,3 +23,15 @@ def moments(sums: DataFrame, n_cells: int) -> DataFrame:
     c = float(n_cells)
     mean = F.col("s") / c
     return sums.select("gene_id", mean.alias("mean"), F.greatest(F.lit(0.0), (F.col("ss") - c * mean * mean) / max(1.0, c - 1)).alias("variance"))
+
+
+def append_columns(entries: DataFrame, cells: DataFrame, features: DataFrame, path: str, assay: str, batch: int, layer: str = "counts") -> None:
+    """Add a batch of whole columns (cells and their entries) to a stored assay; the first one makes it.
+
+    For foreachBatch: each batch is a folder of its own, written over if the batch is run again, so a repeated batch adds nothing.
+    """
+    spark, top = entries.sparkSession, store.root(path, assay)
+    if not store.exists(spark, f"{top}/features"):
+        store.write_table(features, f"{top}/features")
+    store.write_table(entries, f"{top}/layers/{layer}/batch={int(batch)}", sort=["cell_id", "gene_id"])
+    store.write_table(cells, f"{top}/cells/batch={int(batch)}")
