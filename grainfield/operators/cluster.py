@@ -77,5 +77,9 @@ def find_clusters(snn: DataFrame, cells: DataFrame, algorithm: str = "leiden", r
 
 
 def cluster_assay(assay: Assay, algorithm: str = "leiden", resolution: float = 0.8) -> Assay:
-    assay.tables["clusters"] = find_clusters(assay.table("snn"), assay.cells, algorithm, resolution)
+    """Tables clusters, and cluster_summary: n_clusters, modularity, standard_modularity."""
+    snn = assay.table("snn")
+    found = _cut(find_clusters(snn, assay.cells, algorithm, resolution))
+    summary = modularity(snn, found, resolution).select(F.lit(found.select("cluster").distinct().count()).alias("n_clusters"), "modularity", "standard_modularity")
+    assay.tables |= {"clusters": found, "cluster_summary": summary}
     return assay

@@ -181,7 +181,10 @@ def snn(neighbours: DataFrame, k: int = K, prune: float = PRUNE) -> DataFrame:
 
 
 def find_neighbors(assay: Assay, reduction: str = "embeddings", dims: int | None = 30, k: int = K, approximate: bool = False) -> Assay:
+    """Tables knn and snn from the first `dims` coordinates of a reduction."""
     table = assay.table(reduction)
-    assay.tables["knn"] = approximate_knn(table, k) if approximate else knn(table, k, dims)
-    assay.tables["snn"] = snn(assay.tables["knn"], k)
+    if dims:
+        table = table.select("cell_id", F.slice("vec", 1, dims).alias("vec"))
+    found = checkpointed(approximate_knn(table, k) if approximate else knn(table, k))
+    assay.tables |= {"knn": found, "snn": checkpointed(snn(found, k))}
     return assay
