@@ -10,7 +10,8 @@ Components come from label propagation with pointer jumping; nothing of it passe
 
 Hot keys: a bucket's size and least id come from a partial aggregate and are joined back, which Spark splits where a bucket
 is large; a node with many partners meets them in blocks, each of which gets its set once. Blocks are bounded by the shingles
-that they hold, and a task takes blocks of as many shingles in all. No step is chosen by a count of rows.
+that they hold, and a task takes blocks of as many shingles in all. The one step that a count chooses is how the texts of
+documents that share a bucket are picked out: by a broadcast of up to MEMBERS ids, else by a shuffle.
 
 Defined results: one row for each input row. A null or blank text has no shingles and is linked with nothing. Fewer words
 than a shingle make one shingle. Rows that repeat a doc_id are one document. A row with null doc_id is linked
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfield.llm.common import DOCS_PER_FILE, arrow_rows, cut, ship, trim
+from grainfield.llm.common import DOCS_PER_FILE, arrow_rows, broadcast_if_small, cut, ship, trim
 from grainfield.session import without_statistics
 
 SHINGLE = 5
@@ -40,6 +41,8 @@ BANDS, ROWS = 36, 4
 OUTSIDERS, OTHERS = 128, 512
 #: Shingles (8 bytes each) of a block, over which a longer set goes alone.
 BUDGET = 500_000
+#: Documents that share a bucket with others: up to so many ids (8 bytes each) go to every task; beyond that, texts are shuffled.
+MEMBERS = 1_000_000
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -122,7 +125,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, s binary")
+    return rows.join(broadcast_if_small(ids, limit=MEMBERS), "id", "left_semi").mapInArrow(run, "id long, s binary")
 
 
 def _common(a: np.ndarray, values: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -246,7 +249,7 @@ def _near_dedup(docs: DataFrame) -> DataFrame:
     n_nodes = nodes.count()
     named = nodes.select(F.col("rep").alias("doc_id"), "f0", "f1")
     reps = filled.join(named, ["doc_id", "f0", "f1"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys")
-    reps = cut(reps, n_nodes)
+    reps = cut(reps, n_nodes, DOCS_PER_FILE)
     banded = reps.select("id", "n", F.explode("keys").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= 2).select("bucket", "lead")
     members = cut(banded.join(shared, "bucket"), BANDS * n_nodes, BANDS * DOCS_PER_FILE)
