@@ -13,6 +13,8 @@ from grainfield.session import ship
 
 #: Rows of one block; a task holds two blocks.
 BLOCK = 2_048
+#: Rows compared at once: by a matrix product, and coordinate by coordinate.
+ROWS, STEP = 256, 32
 
 
 def paired(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
@@ -34,21 +36,46 @@ def _rows(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["vec"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 0))
 
 
+def nearest_rows(x: np.ndarray, own: np.ndarray | None, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the k rows of y nearest by (distance, id) to each row of x, other than its own id.
+
+    One matrix product for some rows at a time finds all that may be among the k; those few are compared exactly. ids ascend.
+    """
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    fine = np.flatnonzero(np.isfinite(y).all(axis=1))
+    y, ids = y[fine], ids[fine]
+    mean = y.mean(axis=0) if len(y) else 0.0
+    u, v = x - mean, y - mean
+    vv = (v * v).sum(axis=1)
+    for at in range(0, len(x) if len(y) else 0, ROWS):
+        w = u[at : at + ROWS]
+        ww = (w * w).sum(axis=1)[:, None]
+        rough = ww + vv[None] - 2 * w @ v.T
+        same = None if own is None else own[at : at + ROWS, None] == ids[None]
+        if same is not None:
+            rough[same] = np.inf
+        # the product may differ in the last digits
+        bar = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if len(y) > k else np.full((len(w), 1), np.inf)
+        maybe = ~(rough > bar + 1e-9 * (ww + vv.max()))
+        if same is not None:
+            maybe &= ~same
+        r, c = np.nonzero(maybe)
+        d = np.sqrt(((y[c] - x[at + r]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[c], d, r))
+        order = order[np.isfinite(d[order])]
+        r, c, d = r[order], c[order], d[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((at + r[best], fine[c[best]], d[best]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
     """id, rank (from 1), nbr_id, dist: the k rows of right nearest to each row of left by (Euclidean distance, id)."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y, ids = _rows(a), _rows(b), b["id"].to_numpy()
-        out = []
-        if len(x) and len(y):
-            for i, q in zip(a["id"].to_numpy(), x, strict=True):
-                d = np.sqrt(((y - q) ** 2).sum(axis=1))
-                if skip_self:
-                    d[ids == i] = np.inf
-                o = np.argsort(d, kind="stable")[:k]
-                o = o[np.isfinite(d[o])]
-                out.append(pd.DataFrame({"id": i, "nbr_id": ids[o], "dist": d[o]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": np.zeros(0, int), "nbr_id": np.zeros(0, int), "dist": np.zeros(0)})
+        x, y, own, ids = _rows(a), _rows(b), a["id"].to_numpy(), b["id"].to_numpy()
+        r, c, d = nearest_rows(x, own if skip_self else None, y, ids, k) if len(x) and len(y) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pd.DataFrame({"id": own[r], "nbr_id": ids[c], "dist": d})
 
     w = Window.partitionBy("id").orderBy("dist", "nbr_id")
     found = paired(left, right, run, "id long, nbr_id long, dist double", block)
@@ -63,7 +90,8 @@ def gaussian_mean(left: DataFrame, right: DataFrame, bandwidth: float, dim: int,
         if not len(x) or not len(y):
             return pd.DataFrame({"id": a["id"], "weight": 0.0, "sums": [np.zeros(dim)] * len(a)})
         at, values = y[:, :dim], y[:, dim:]
-        w = np.stack([np.exp(-((at - q) ** 2).sum(axis=1) / (2 * bandwidth * bandwidth)) for q in x])
+        apart = [((at[None] - x[i : i + STEP, None]) ** 2).sum(axis=2) for i in range(0, len(x), STEP)]
+        w = np.exp(-np.concatenate(apart) / (2 * bandwidth * bandwidth))
         return pd.DataFrame({"id": a["id"].to_numpy(), "weight": w.sum(axis=1), "sums": list(w @ values)})
 
     parts = paired(left, right, run, "id long, weight double, sums array<double>", block)

@@ -16,8 +16,8 @@ K, PRUNE = 20, 1.0 / 15.0
 MEASURED, WANTED = 128, 0.95
 #: Probes are worth their copies where they leave out so much: all rows over those visited, at least.
 SAVING = 4
-#: Rows of a leaf and queries of it that one task holds; queries compared at once; leaves that may be broadcast.
-PIECE, BLOCK, ROWS, LEAVES = 8_192, 8_192, 256, 100_000
+#: Rows of a leaf and queries of it that one task holds; leaves that may be broadcast.
+PIECE, BLOCK, LEAVES = 8_192, 8_192, 100_000
 #: Cells of a block of those that share a neighbour.
 HUB = 1_024
 
@@ -36,33 +36,12 @@ def _best_of_piece(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     """id, nbr_id, dist: for each query the k rows nearest by (distance, id) of one piece of a leaf."""
     pdf = pdf.sort_values("id")
     q, c = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-    names = ("id", "nbr_id", "dist")
-    if not len(q) or not len(c):
-        return pd.DataFrame(dict(zip(names, out[0], strict=True)))
-    x, y = (np.stack(t["vec"].to_numpy()).astype(float) for t in (q, c))
-    ids, own = c["id"].to_numpy(), q["id"].to_numpy()
-    fine = np.isfinite(y).all(axis=1)
-    y, ids = y[fine], ids[fine]
-    mean = y.mean(axis=0) if len(y) else 0.0
-    u, v = x - mean, y - mean
-    vv = (v * v).sum(axis=1)
-    for at in range(0, len(x) if len(y) else 0, ROWS):
-        w = u[at : at + ROWS]
-        ww = (w * w).sum(axis=1)[:, None]
-        rough = ww + vv[None] - 2 * w @ v.T
-        rough[own[at : at + ROWS, None] == ids[None]] = np.inf
-        # the product may differ in the last digits: all that may be among the k are compared exactly
-        bar = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if len(y) > k else np.full((len(w), 1), np.inf)
-        maybe = ~(rough > bar + 1e-9 * (ww + vv.max()))
-        for i in range(len(w)):
-            o = np.flatnonzero(maybe[i])
-            o = o[ids[o] != own[at + i]]
-            d = np.sqrt(((y[o] - x[at + i]) ** 2).sum(axis=1))
-            best = np.argsort(d, kind="stable")[:k]
-            best = best[np.isfinite(d[best])]
-            out.append((np.full(len(best), own[at + i]), ids[o[best]], d[best]))
-    return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+    own, ids = q["id"].to_numpy(), c["id"].to_numpy()
+    r, at, d = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    if len(q) and len(c):
+        x, y = (np.stack(t["vec"].to_numpy()).astype(float) for t in (q, c))
+        r, at, d = blocks.nearest_rows(x, own, y, ids, k)
+    return pd.DataFrame({"id": own[r], "nbr_id": ids[at], "dist": d})
 
 
 def _in_leaves(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
