@@ -82,10 +82,9 @@ def fit_text(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> tupl
 def _likelihood(model: np.ndarray):
     n = model.shape[1]
 
-    @F.arrow_udf("array<double>")
     def text_likelihood(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts.to_pylist():
+        for text in (x.as_py() for x in texts):
             codes = _codes(text) if text and any(map(str.isalpha, text)) else ()
             if not len(codes):
                 out.append([0.0] * n)
@@ -98,7 +97,8 @@ def _likelihood(model: np.ndarray):
         trim()
         return pa.array(out, pa.list_(pa.float64()))
 
-    return text_likelihood
+    # else a filter on what follows from it is pushed below and evaluates it once more, in a second Python worker for each task
+    return F.arrow_udf(text_likelihood, "array<double>").asNondeterministic()
 
 
 def host_of(url: Column) -> Column:
@@ -160,7 +160,9 @@ def language_id(docs: DataFrame, host: Column | None = None, markup: Column | No
     # log p(declaration | language), a share of declarations being simply wrong; a row for each language
     all_said = [sum(c[i] for c in said.values()) for i in range(n)]
     right = lambda d, i: 0.9 if i == d - 1 else 0.1 / max(1, n - 1)
-    channel = [(d, [float(np.log((said.get(d, [0.0] * n)[i] + CHANNEL_WEIGHT * right(d, i)) / (all_said[i] + CHANNEL_WEIGHT))) for i in range(n)]) for d in range(1, n + 1)]
+    channel = [[float(np.log((said.get(d, [0.0] * n)[i] + CHANNEL_WEIGHT * right(d, i)) / (all_said[i] + CHANNEL_WEIGHT))) for i in range(n)] for d in range(1, n + 1)]
+    # from Arrow: a list of rows would go through Python workers of their own
+    channel = pa.table({"_d": pa.array(range(1, n + 1), pa.int32()), "_channel": pa.array(channel, pa.list_(pa.float64()))})
     channel = F.broadcast(docs.sparkSession.createDataFrame(channel, "_d int, _channel array<double>"))
     rows = seen.join(broadcast_if_small(hosts, None, BROADCAST_ROWS), F.col("_host") == F.col("_h"), "left").join(channel, F.col("_said") == F.col("_d"), "left")
     rows = rows.join(broadcast_if_small(suffixes.withColumnRenamed("_k", "_x")), F.col("_suffix") == F.col("_x"), "left")

@@ -100,3 +100,18 @@ def test_hosts_of_addresses(spark):
 def test_too_many_labels(spark):
     with pytest.raises(ValueError):
         langid.fit_text(spark.range(langid.LANGUAGES + 5).selectExpr("id doc_id", "'x' text", "cast(id as string) lang"))
+
+
+def test_texts_are_scored_once_a_scan(spark, mixed, monkeypatch):
+    """A filter on the verdict (the pipeline's) or on the best language must not score a text again in a second Python worker."""
+    plans, cut = [], langid.cut
+    monkeypatch.setattr(langid, "cut", lambda df, *a: plans.append(df) or cut(df, *a))
+    plans.append(langid.language_id(mixed, markup=F.col("markup")).where("accepted"))
+    scored = [df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") for df in plans]
+    assert max(scored) == 1 and scored[-1] == 1 and sum(scored) == 2
+
+
+def test_no_rows_through_plain_python_workers(spark, mixed, monkeypatch):
+    """Executors keep Python workers for each kind of work: rows made from a list would add a daemon and workers of another kind."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("a list of rows"))
+    assert langid.language_id(mixed, markup=F.col("markup")).where("accepted").count() > 0
