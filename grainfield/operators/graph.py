@@ -58,12 +58,6 @@ def _in_leaves(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
     return found.distinct().select("id", F.row_number().over(w).alias("rank"), "nbr_id", "dist").where(F.col("rank") <= k)
 
 
-def _in_all(asked: DataFrame, rows: DataFrame, n_asked: int, n: int, k: int) -> DataFrame:
-    """As _in_leaves, of all rows as one leaf: exact."""
-    sizes = [F.lit(0).cast("long").alias("leaf"), "id", "vec", F.lit(max(1, -(-n // PIECE))).alias("pieces"), F.lit(max(1, -(-n_asked // BLOCK))).alias("blocks")]
-    return _in_leaves(asked.select(*sizes), rows.select(*sizes), k)
-
-
 def _probes(z: np.ndarray, bound: float) -> list[int] | None:
     """Leaves (table, then bits) whose flipped projections, squared, add up to at most bound; None: as many as all rows have."""
     tables, width = z.shape
@@ -113,7 +107,7 @@ def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: in
         if tables >= 1 << width:
             return None
         sample = checkpointed(rows.orderBy(F.xxhash64("id"), "id").limit(MEASURED))
-        true = F.broadcast(_in_all(sample, rows, MEASURED, n, k - 1).select(F.col("id").alias("q"), F.col("nbr_id").alias("id")))  # at most MEASURED * k
+        true = F.broadcast(blocks.nearest(sample, rows, k - 1).select(F.col("id").alias("q"), F.col("nbr_id").alias("id")))  # at most MEASURED * k
         pairs = rows.join(true, "id").join(F.broadcast(sample.select(F.col("id").alias("q"), F.col("vec").alias("at"))), "q").select("at", "vec").collect()
         if not pairs:
             return None
@@ -125,7 +119,7 @@ def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: in
 
     most = bound()
     if most is None:
-        return result(_in_all(rows, rows, n, n, k - 1))
+        return result(blocks.nearest(rows, rows, k - 1))
 
     def coded(limit: float):
         @F.pandas_udf("array<long>")
@@ -143,7 +137,7 @@ def approximate_knn(embeddings: DataFrame, k: int = K, tables: int = 8, bits: in
     short = checkpointed(rows.join(full, "id", "left_anti"))
     n_short = short.count()
     if n_short:
-        found = found.join(short.select("id").distinct(), "id", "left_anti").unionByName(_in_all(short, rows, n_short, n, k - 1))
+        found = found.join(short.select("id").distinct(), "id", "left_anti").unionByName(blocks.nearest(short, rows, k - 1))
     return result(found)
 
 
