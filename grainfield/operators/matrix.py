@@ -59,8 +59,14 @@ def rmatvec(coo: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(genes x cells) times (cells x k) given as b(cell_id, k, value): gene_id, k, value."""
-    return a.join(b.select("cell_id", "k", F.col("value").alias("w")), "cell_id").groupBy("gene_id", "k").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    """(genes x cells) times (cells x k) given as b(cell_id, k, value): gene_id, k, value.
+
+    Entries go to their gene before they are multiplied out: a task that meets cells holds no sums, one that adds has whole genes.
+    """
+    rows = b.groupBy("cell_id").agg(F.collect_list(F.struct("k", F.col("value").alias("w"))).alias("row"))
+    met = a.join(rows, "cell_id").select("gene_id", "value", "row").repartition("gene_id")
+    pairs = met.select("gene_id", "value", F.inline("row"))
+    return pairs.groupBy("gene_id", "k").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
 
 
 def scaled_value(value: Column, mean: Column, sd: Column) -> Column:
