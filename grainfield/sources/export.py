@@ -31,11 +31,14 @@ def _joined(lines: DataFrame, path: str, head: str = "") -> None:
     fs.delete(folder, True)
 
 
-def write_mtx(counts: DataFrame, folder: str, n_genes: int, n_cells: int) -> None:
-    """folder/matrix.mtx of a (cell_id, gene_id, value) table with unique entries (0-based; written 1-based), column by column."""
+def write_mtx(counts: DataFrame, folder: str, n_genes: int, n_cells: int, entries: int | None = None) -> None:
+    """folder/matrix.mtx of a (cell_id, gene_id, value) table with unique entries (0-based; written 1-based), column by column.
+
+    entries: how many there are, if known.
+    """
     line = F.concat_ws(" ", (F.col("gene_id") + 1).cast("string"), (F.col("cell_id") + 1).cast("string"), F.col("value").cast("string"))
     rows = counts.repartitionByRange("cell_id", "gene_id").sortWithinPartitions("cell_id", "gene_id").select(line.alias("value"))
-    _joined(rows, f"{folder}/matrix.mtx", f"%%MatrixMarket matrix coordinate real general\n{n_genes} {n_cells} {counts.count()}\n")
+    _joined(rows, f"{folder}/matrix.mtx", f"%%MatrixMarket matrix coordinate real general\n{n_genes} {n_cells} {counts.count() if entries is None else entries}\n")
 
 
 def write_names(names: DataFrame, path: str, order: str) -> None:

@@ -66,14 +66,15 @@ def read_mtx(spark: SparkSession, path: str, validate: bool = True) -> tuple[Dat
     value = F.lit(1.0) if header["pattern"] else F.coalesce(number(3, "double"), F.lit(0.0))
     rows = lines.select("s", number(1, "long").alias("r"), number(2, "long").alias("c"), value.alias("value"))
     # the size line is the first: its text may come again as an entry, so one row of that text is taken off by count
-    if validate:
-        n = rows.count() - 1
-        bad = rows.where((F.col("s") != size) & (F.col("r").isNull() | F.col("c").isNull() | (F.col("r") < 1) | (F.col("c") < 1) | (F.col("r") > header["rows"]) | (F.col("c") > header["cols"]))).limit(1).collect()
-        if bad:
-            raise ValueError(f"bad entry in {path}: {bad[0]['s']!r}")
-        if n != header["nnz"]:
-            raise ValueError(f"{path} has {n} entries; its size line says {header['nnz']}")
-    same = rows.where(F.col("s") == size).count()
+    outside = F.col("r").isNull() | F.col("c").isNull() | (F.col("r") < 1) | (F.col("c") < 1) | (F.col("r") > header["rows"]) | (F.col("c") > header["cols"])
+    bad = F.min(F.when((F.col("s") != size) & outside, F.col("s"))) if validate else F.lit(None)
+    # one pass: to look for the first bad line would read a good file a few parts at a time
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") == size).alias("same"), bad.alias("bad")).first()
+    n, same = seen["n"] - 1, seen["same"]
+    if seen["bad"] is not None:
+        raise ValueError(f"bad entry in {path}: {seen['bad']!r}")
+    if validate and n != header["nnz"]:
+        raise ValueError(f"{path} has {n} entries; its size line says {header['nnz']}")
     entries = rows.where(F.col("s") != size)
     if same > 1 and min(header["rows"], header["cols"]) >= 1:
         extra = spark.createDataFrame([(header["rows"], header["cols"], float(header["nnz"]) if not header["pattern"] else 1.0)] * (same - 1), "r long, c long, value double")
