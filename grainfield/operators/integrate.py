@@ -41,6 +41,7 @@ def smoothed_correction(query: DataFrame, raw: DataFrame, sigma: float = 0.1) ->
     width = sigma * sum(float(v) ** 2 for v in first["vec"]) ** 0.5
     width = width if width >= 1e-6 else 1.0
     source = query.join(raw.select("id", F.col("vec").alias("c")), "id").where(F.exists("c", lambda x: x != 0)).select("id", F.concat(F.col("vec").cast("array<double>"), "c").alias("vec"))
+    source = _cut(source)  # else the pairs are found again to count it
     sums = blocks.gaussian_mean(query.select("id", F.col("vec").cast("array<double>").alias("vec")), source, width, dim)
     vec = F.transform("sums", lambda s: F.when(F.col("weight") > 1e-10, s / F.greatest(F.col("weight"), F.lit(1e-300))).otherwise(0.0))
     return sums.select("id", vec.alias("vec"))
